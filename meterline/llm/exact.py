@@ -22,12 +22,7 @@ def frequent_digests(digests: DataFrame, support: float) -> DataFrame:
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("hot_size"), F.max("doc_id").alias("hot_keep"))
     )
-    total = digests.agg(F.count(F.lit(1)).alias("n_all"))
-    return (
-        counted.crossJoin(F.broadcast(total))  # one row on the right
-        .filter(F.col("hot_size") > F.col("n_all") * F.lit(support))
-        .select("digest", "hot_size", "hot_keep")
-    )
+    return counted.filter(F.col("hot_size") > digests.count() * support)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = 0.002) -> DataFrame:

@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact import EXACT_SQL, exact_dedup
+from .html_text import extract_pages
+from .line_dedup import line_dedup_digest
+from .mixing import mix_sources
+from .personal_data import personal_data_digest
 from .piece_codec import encode_digests
+from .quality_classifier import classify_quality
+from .quality_rules import quality_rules
 from .simhash import simhash_classes
 from .token_counts import count_tokens
 
@@ -23,22 +29,52 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data_digest(table(spark, sf_dir, "documents"))
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), piece_model())
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_quality_rules": op2_quality_rules,
     "op3_token_counts": op3_token_counts,
+    "op4_mixing": op4_mixing,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op6_line_dedup": op6_line_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_personal_data": op8_personal_data,
     "op9_piece_codec": op9_piece_codec,
+    "op10_html_text": op10_html_text,
 }
 ORACLES: dict[str, str] = {"op7_exact_dedup": EXACT_SQL}
