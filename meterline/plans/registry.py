@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import reporting
+
+QUERIES: dict = {**reporting.QUERIES}
+ORACLES: dict = {**reporting.ORACLES}
