@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACES = "\x20\t\n\x0b\x0c\r"
 #: Characters of text that Python code works on at a time.
 SLICE_CHARS = 1_000_000
+#: Characters that the keys of a worker's cache may hold together.
+CACHE_CHARS = 16_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 

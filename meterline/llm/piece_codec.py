@@ -7,7 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import per_text
+from .common import CACHE_CHARS, per_text
 from .pieces import SPACE, chunks, vocabulary
 
 #: Chunks that a worker remembers, at most.
@@ -20,13 +20,15 @@ class ChunkEncoder:
     def __init__(self, model_path: str, cache_chunks: int = CACHE_CHUNKS):
         self.vocabulary, self.limit = vocabulary(model_path), cache_chunks
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.chars = 0
 
     def learn(self, lists: list[list[str]]) -> dict[str, tuple[int, str, str]]:
         """For all chunks of the lists: number of ids, ids as text, decoded text."""
         wanted = set().union(*lists) if lists else set()
-        if len(self.known) + len(wanted) > self.limit:
-            self.known = {}
+        if len(self.known) + len(wanted) > self.limit or self.chars > CACHE_CHARS:
+            self.known, self.chars = {}, 0
         new = [c for c in wanted if c not in self.known]
+        self.chars += sum(map(len, new))
         for c, ids in zip(new, self.vocabulary.encode_chunks(new), strict=True):
             # A mark in front keeps decode() from taking off the chunk's own space.
             self.known[c] = (len(ids), ",".join(map(str, ids)), self.vocabulary.decode([self.vocabulary.symbol[SPACE], *ids]))
