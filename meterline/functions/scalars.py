@@ -10,7 +10,8 @@ LOCAL_ZONE = "Asia/Shanghai"
 TEXT_LIMIT = 512
 MAX_LONG = (1 << 63) - 1
 MAX_TS = 253402300799 - 28800
-OBSERVER_MARKER = "observer-sessions"
+OBSERVER_MARKER = "/.claude-mem/observer-sessions"
+SUBAGENT_MARKER = "/subagents/workflows/"
 #: Region and provider prefixes that may be stacked in front of a model name.
 MODEL_PREFIX = r"^(?:(?:us|eu|apac)\.|anthropic\.|openai\.|cursor[.-])+"
 PLACEHOLDERS = ["unknown", "<unknown>", "<synthetic>", "n/a", "none"]
@@ -48,24 +49,24 @@ def project_name(path: Column) -> Column:
 
 
 def session_key_project(key: Column, default: Column) -> Column:
-    """Project of a session key ``agent:<id>:<x>…``: the id unless it is main, then x; of other keys the first part."""
-    part = lambda n: F.nullif(F.try_element_at(F.split(key, ":"), F.lit(n)), F.lit(""))
-    agent = F.when(part(2) != "main", part(2)).otherwise(F.coalesce(part(3), part(2)))
-    found = F.when(part(1) == "agent", agent).otherwise(part(1))
-    return F.when(F.coalesce(F.trim(key), F.lit("")) == "", default).otherwise(F.coalesce(found, default))
+    """Project of a session key: of ``agent:<id>:<x>…`` the id unless it is main, else x; of other keys the first part."""
+    parts = F.split(F.coalesce(key, F.lit("")), ":")
+    part = lambda n: F.nullif(F.get(parts, n), F.lit(""))
+    is_agent = (F.size(parts) >= 3) & (F.get(parts, 0) == "agent")
+    agent = F.when(F.coalesce(part(1), F.lit("main")) != "main", part(1)).otherwise(part(2))
+    return F.coalesce(F.when(is_agent, agent).otherwise(part(0)), default)
 
 
 def category_of(cwd: Column, sidechain: Column, path: Column) -> Column:
     """observer if the folder holds the observer marker, subagent for side chains and workflow files, else main."""
-    side = F.coalesce(sidechain, F.lit(False)) | path.contains("/workflows/") | path.contains("/subagents/")
+    side = F.coalesce(sidechain, F.lit(False)) | F.coalesce(path, F.lit("")).contains(SUBAGENT_MARKER)
     return F.when(F.coalesce(cwd, F.lit("")).contains(OBSERVER_MARKER), "observer").when(side, "subagent").otherwise("main")
 
 
 def split_cache_writes(total: Column, five: Column, hour: Column) -> tuple[Column, Column]:
-    """5-minute and 1-hour cache writes. No detail: all are 5-minute ones; only the hour known: the rest is."""
-    none = F.lit(0).cast("long")
-    w5 = F.when(five.isNull() & hour.isNull(), total).when(five.isNull(), F.greatest(none, total - hour)).otherwise(five)
-    return w5, F.coalesce(hour, none)
+    """5-minute and 1-hour cache writes, to be added up. No detail: all are 5-minute ones; only the hour: the rest is."""
+    w5 = F.when((five <= 0) & (hour <= 0), total).when(five <= 0, F.greatest(F.lit(0), total - hour)).otherwise(five)
+    return w5, F.greatest(F.lit(0), hour)
 
 
 def clean_model(model: Column) -> Column:

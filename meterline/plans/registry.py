@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reporting
+from . import auditing, ingestion, reporting
 
-QUERIES: dict = {**reporting.QUERIES}
-ORACLES: dict = {**reporting.ORACLES}
+QUERIES: dict = {**ingestion.QUERIES, **reporting.QUERIES, **auditing.QUERIES}
+ORACLES: dict = {**ingestion.ORACLES, **reporting.ORACLES, **auditing.ORACLES}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "meterline") -> SparkSession:
@@ -20,3 +22,19 @@ def local_session(cores: str = "8", app: str = "meterline") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = getattr(spark.sparkContext, "_meterline_shared", None) or "file://" + tempfile.mkdtemp(prefix="meterline-")
+        spark.sparkContext._meterline_shared = folder
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: the plan ends there, and nothing is lost with an executor."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
