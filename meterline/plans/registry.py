@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import auditing, ingestion, reporting
+from . import auditing, ingestion, reporting, streaming
 
-QUERIES: dict = {**ingestion.QUERIES, **reporting.QUERIES, **auditing.QUERIES}
-ORACLES: dict = {**ingestion.ORACLES, **reporting.ORACLES, **auditing.ORACLES}
+QUERIES: dict = {**ingestion.QUERIES, **reporting.QUERIES, **auditing.QUERIES, **streaming.QUERIES}
+ORACLES: dict = {**ingestion.ORACLES, **reporting.ORACLES, **auditing.ORACLES, **streaming.ORACLES}
