@@ -130,3 +130,18 @@ ORACLES = {
     "f17_cache_efficiency": RATED + f""", g AS (SELECT sum(cache_read_tokens) AS r, sum(input_tokens) AS i, sum(output_billed) AS o, sum(saved) AS s FROM pr WHERE {within('today')})
       SELECT round(100.0 * r / nullif(r + i, 0), 1) AS cache_percent, round(100.0 * o / nullif(r + i, 0), 1) AS output_percent, round(CAST(s AS DOUBLE) / 1e6, 4) AS saved_usd FROM g""",
 }
+
+_ENDS = "day <= strftime(DATE '2024-01-28' - CAST(CASE source WHEN 'claude' THEN 1 WHEN 'opencode' THEN 3 WHEN 'openclaw' THEN 4 WHEN 'hermes' THEN 5 WHEN 'grok' THEN 6 ELSE 7 END AS INTEGER), '%Y-%m-%d')"
+_PART = EV.replace("FROM usage_events\n)", f"FROM usage_events WHERE source <> 'codex' AND {_ENDS})")
+ORACLES["f11_audit_issues"] = _TODAY.replace(EV, _PART) + """, mx AS (SELECT session_id, sum(total_norm) AS t FROM ev WHERE session_id <> '' GROUP BY 1 HAVING count(DISTINCT source) > 1 OR count(DISTINCT model) > 1 OR count(DISTINCT project) > 1),
+  whole AS (SELECT sum(total_norm) AS n FROM ev), cov AS (SELECT source, CAST(max(day) AS DATE) AS last_day FROM ev GROUP BY 1), nw AS (SELECT max(last_day) AS newest FROM cov),
+  gone AS (SELECT source_file, sum(total_tokens) AS t FROM ev WHERE (u % 40) % 3 = 0 GROUP BY 1)
+  SELECT 'warn' AS level, 'source_missing' AS code, 'codex' AS subject, CAST(0 AS DOUBLE) AS value
+  UNION ALL SELECT 'warn', 'all_stale', '*', CAST(DATE '2024-01-30' - newest AS DOUBLE) FROM nw WHERE DATE '2024-01-30' - newest >= 3
+  UNION ALL SELECT 'info', 'source_stale', source, CAST(newest - last_day AS DOUBLE) FROM cov, nw WHERE source <> 'cursor' AND newest - last_day >= 3
+  UNION ALL SELECT 'warn', 'no_progress', '*', 0
+  UNION ALL SELECT 'info', 'mixed_sessions', '*', round(100.0 * sum(t) / (SELECT n FROM whole), 2) FROM mx HAVING count(*) > 0
+  UNION ALL SELECT 'info', 'approximate_prices', '*', count(DISTINCT model) FROM pr WHERE status = 'borrowed' HAVING count(*) > 0
+  UNION ALL SELECT 'warn', 'unknown_models', '*', round(100.0 * sum(total_norm) / (SELECT n FROM whole), 2) FROM pr WHERE status = 'unknown' HAVING sum(total_norm) > 0
+  UNION ALL SELECT 'info', 'missing_files', '*', round(100.0 * sum(t) / (SELECT n FROM whole), 2) FROM gone HAVING 100.0 * sum(t) / (SELECT n FROM whole) >= 10
+  UNION ALL SELECT 'warn', 'rates_not_verified', '*', CAST(DATE '2024-01-30' - DATE '2023-06-01' AS DOUBLE)"""

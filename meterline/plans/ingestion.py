@@ -294,3 +294,9 @@ ORACLES = {
     "c9_rebuild_forked": EV + " SELECT dedup_key, concat('/logs/f', u, '.jsonl') AS source_file FROM ev WHERE u % 9 <> 0",
     "c10_backfill_prompt": EV + " SELECT dedup_key, CASE WHEN source IN ('codex', 'grok', 'opencode') THEN input_tokens + cache_read_tokens END AS request_prompt_tokens FROM ev",
 }
+
+_SOURCES = {"b6_cumulative_to_delta": ("codex", "'main'"), "b10_oneshot_usage": ("codex", "category"), "b11_inference_events": ("grok", "category"), "b13_completed_runs": ("openclaw", "category"), "b21_usage_csv": ("cursor", "'main'"),
+            "b4_iterations": ("claude", "category"), "b19_session_table": ("hermes", "category"), "b17_message_table": ("opencode", "category")}
+ORACLES["b26_build_ledger"] = "SELECT source, category, count(*) AS records, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM (" + " UNION ALL ".join(
+    f"SELECT '{source}' AS source, {category} AS category, total_tokens FROM ({ORACLES[n]})" for n, (source, category) in _SOURCES.items()
+) + ") GROUP BY 1, 2"
