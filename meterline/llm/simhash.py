@@ -258,15 +258,6 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(reached, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def class_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, columns unchanged; of rows that repeat such an id one
-    stays. Rows with a null id pass unchanged: nothing can name them as another's copy."""
-    named = docs.filter(F.col(id_col).isNotNull())
-    first = simhash_classes(named, id_col, text_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
-
-
 def brute_force_links(values: list[int]) -> set[tuple[int, int]]:
     """All pairs of positions at most three bits apart; for tests."""
     return {(i, j) for i, j in combinations(range(len(values)), 2) if (values[i] ^ values[j]).bit_count() <= 3}
