@@ -38,63 +38,88 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[float, ...], bud
 
 
 class Flow:
-    """Min-cost flow by successive shortest paths; capacities and costs are integers."""
+    """Min-cost flow with the costs of repetitions: one blocking flow after another, cheapest level first.
+
+    Every path costs what its first arc costs, for all other arcs are free. So the flow that sends all it can over the arcs
+    of the cheapest level, then adds the next level, is one of least cost; each level is a maximum flow, found by
+    blocking flows over layers (few phases, each linear in the arcs), not by single paths.
+    """
 
     def __init__(self, n: int):
         self.head: list[list[int]] = [[] for _ in range(n)]
         self.to: list[int] = []
         self.room: list[int] = []
-        self.cost: list[int] = []
 
-    def arc(self, a: int, b: int, room: int, cost: int) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
+    def arc(self, a: int, b: int, room: int) -> int:
+        for x, y, r in ((a, b, room), (b, a, 0)):
             self.head[x].append(len(self.to))
             self.to.append(y)
             self.room.append(r)
-            self.cost.append(c)
         return len(self.to) - 2
 
+    def layers(self, s: int) -> list[int]:
+        far = [-1] * len(self.head)
+        far[s], queue = 0, deque([s])
+        while queue:
+            a = queue.popleft()
+            for e in self.head[a]:
+                if self.room[e] and far[self.to[e]] < 0:
+                    far[self.to[e]] = far[a] + 1
+                    queue.append(self.to[e])
+        return far
+
     def run(self, s: int, t: int) -> None:
-        while True:
-            far, via = {s: 0}, {}
-            queue, waiting = deque([s]), {s}
-            while queue:
-                a = queue.popleft()
-                waiting.discard(a)
-                for e in self.head[a]:
-                    if self.room[e] and far[a] + self.cost[e] < far.get(self.to[e], 1 << 60):
-                        far[self.to[e]], via[self.to[e]] = far[a] + self.cost[e], e
-                        if self.to[e] not in waiting:
-                            waiting.add(self.to[e])
-                            queue.append(self.to[e])
-            if t not in far:
-                return
-            path, b = [], t
-            while b != s:
-                path.append(via[b])
-                b = self.to[via[b] ^ 1]
-            put = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= put
-                self.room[e ^ 1] += put
+        """All that still fits from s to t."""
+        while (far := self.layers(s))[t] >= 0:
+            at, path, a = [0] * len(self.head), [], s
+            while True:
+                if a == t:
+                    put = min(self.room[e] for e in path)
+                    for e in path:
+                        self.room[e] -= put
+                        self.room[e ^ 1] += put
+                    k = next(i for i, e in enumerate(path) if not self.room[e])
+                    a, path = self.to[path[k] ^ 1], path[:k]
+                elif at[a] < len(self.head[a]):
+                    e = self.head[a][at[a]]
+                    if self.room[e] and far[self.to[e]] == far[a] + 1:
+                        path.append(e)
+                        a = self.to[e]
+                    else:
+                        at[a] += 1
+                elif path:
+                    a = self.to[path.pop() ^ 1]
+                    at[a] += 1
+                else:
+                    break
 
 
 def pattern_tokens(patterns: dict[str, int], members: dict[str, list], targets: dict[str | None, float], most: int) -> dict[str, int]:
-    """Tokens to take of each membership pattern. Its r-th repetition has its whole size as room and costs 2r - 1 a
-    token, so that the flow repeats nothing while first copies can fill the quotas."""
-    places = {p: k + 1 for k, p in enumerate(patterns)}
-    quotas = {s: len(places) + 1 + k for k, s in enumerate(targets)}
+    """Tokens to take of each membership pattern, at least cost: the r-th repetition of a pattern has its whole size as room
+    and costs 2r - 1 a token, so nothing is repeated while first copies can fill the quotas.
+
+    A source that only patterns of itself alone name needs no flow: its one pattern gives its quota, or all it has.
+    """
+    shared = {s for p in patterns for s in members[p] if len(members[p]) > 1}
+    quota = {s: round(t) for s, t in targets.items()}
+    alone = {p: min(quota[members[p][0]], most * size) for p, size in patterns.items() if len(members[p]) == 1 and members[p][0] not in shared}
+    open_ones = {p: size for p, size in patterns.items() if p not in alone}
+    places = {p: k + 1 for k, p in enumerate(open_ones)}
+    quotas = {s: len(places) + 1 + k for k, s in enumerate(sorted(shared, key=lambda s: (s is None, s)))}
     sink = len(places) + len(quotas) + 1
-    flow = Flow(sink + 1)
-    first: dict[str, list[int]] = {}
-    for p, size in patterns.items():
-        first[p] = [flow.arc(0, places[p], size, 2 * r + 1) for r in range(most)]
+    flow, given = Flow(sink + 1), dict.fromkeys(open_ones, 0)
+    for p, size in open_ones.items():
         for s in members[p]:
-            flow.arc(places[p], quotas[s], most * size, 0)
-    for s, target in targets.items():
-        flow.arc(quotas[s], sink, round(target), 0)
-    flow.run(0, sink)
-    return {p: sum(flow.room[e + 1] for e in arcs) for p, arcs in first.items()}
+            flow.arc(places[p], quotas[s], most * size)
+    for s, node in quotas.items():
+        flow.arc(node, sink, quota[s])
+    for _ in range(most):
+        arcs = {p: flow.arc(0, places[p], size) for p, size in open_ones.items()}
+        flow.run(0, sink)
+        for p, e in arcs.items():
+            given[p] += flow.room[e + 1]
+            flow.room[e] = flow.room[e + 1] = 0  # a level that is filled is not taken back: later ones only add
+    return alone | given
 
 
 def _cut(base: DataFrame, need: DataFrame, bin_col: Column) -> DataFrame:
@@ -117,7 +142,6 @@ def mix_sources(
     most: int = 2,
     seed: int = 42,
     rounds: int = 4,
-    max_patterns: int = 50_000,
 ) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (tokens the mix takes, repeats counted).
 
@@ -128,8 +152,9 @@ def mix_sources(
     fits. The running sum needs no global sort: two levels of a 1024-bin histogram of the hash leave a millionth of a
     pattern to be ordered. source_size and target are those of a document's first source in code point order.
 
-    Only sums by pattern come to the driver. Their number is that of distinct sets of sources, not of documents;
-    beyond ``max_patterns`` the job stops with an error and mixes nothing. Reruns agree, whatever the partitioning.
+    Only sums by pattern come to the driver: as many rows as there are distinct sets of sources, however many documents.
+    Sources that no set shares are solved in closed form there, the rest by the flow; there is no cap. Reruns agree,
+    whatever the partitioning.
     A null text has size 0 and is never taken; ids may be null or repeated (rows with equal ids are told apart by
     size); an empty table gives no rows; other columns are neither read nor returned.
     """
@@ -143,9 +168,7 @@ def mix_sources(
             F.xxhash64(F.lit(seed), F.col(id_col)).alias("u"), F.monotonically_increasing_id().alias("row"),
         )
     )
-    sums = [(r["pattern"], int(r["held"])) for r in base.groupBy("pattern").agg(F.sum("size").alias("held")).limit(max_patterns + 1).collect()]
-    if len(sums) > max_patterns:
-        raise ValueError(f"more than {max_patterns} sets of sources; raise max_patterns or name fewer sources")
+    sums = [(r["pattern"], int(r["held"])) for r in base.groupBy("pattern").agg(F.sum("size").alias("held")).collect()]
     patterns = dict(sorted(sums))
     member = {p: json.loads(p) for p in patterns}
     sizes: dict[str | None, int] = {}
