@@ -12,7 +12,8 @@ def _star(links: DataFrame, both: bool) -> DataFrame:
     """One step over links (a, b) with a > b. Large star (``both``): every larger neighbour of a node is hung on the
     least of its neighbourhood; small star: every smaller one, and the node itself."""
     view = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))) if both else links
-    least = view.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
+    # written: a join against the grouped plan itself would keep its partitioning, and a hub could not be split
+    least = materialize(view.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low")))
     met = view.join(least, "a")
     if both:
         out = met.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))

@@ -243,18 +243,22 @@ def near_links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links).
 
-    Links join fingerprints at most three bits apart. Equal fingerprints are one node, so groups of copies cost one
-    row; links are found by bit-sliced comparison in shared buckets and closed by connected components. Null and empty
-    texts have fingerprint zero and are linked like any other. Ids may repeat (each row is returned); rows with a null
-    id are returned, and a component whose ids are all null has a null component_id. An empty table gives no rows.
-    Other columns are neither read nor returned.
+    Links join fingerprints at most three bits apart. The fingerprint itself is the node, so groups of copies cost one
+    row and rows without an id link like any other; links are found by bit-sliced comparison in shared buckets and closed
+    by connected components, and only then a component gets the smallest id of its rows. Null and empty texts have
+    fingerprint zero. Ids may repeat (each row is returned, and each of its fingerprints is a node of its own); a
+    component whose ids are all null has a null component_id. An empty table gives no rows. Other columns are neither
+    read nor returned.
     """
     marked = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")))
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").cast("long").alias("least")).select("fp", "least"))
-    named = nodes.select("fp", F.coalesce("least", F.lit((1 << 63) - 1)).alias("node"))
-    links = materialize(near_links(named).distinct())
-    label = smallest_reachable(links).withColumnRenamed("node", "least")
-    reached = nodes.join(label, "least", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    links = materialize(near_links(nodes.select("fp", F.col("fp").alias("node"))).distinct())
+    label = materialize(smallest_reachable(links).withColumnRenamed("node", "fp"))
+    linked = nodes.join(label, "fp")
+    roots = nodes.join(label.select(F.col("component").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("component"), "least")
+    named = linked.select("component", "least").unionByName(roots).groupBy("component").agg(F.min("least").alias("component_id"))
+    class_of = label.unionByName(label.select(F.col("component").alias("fp"), "component").distinct())
+    reached = nodes.join(class_of, "fp", "left").join(named, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(reached, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
