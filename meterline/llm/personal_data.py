@@ -53,21 +53,49 @@ def hits(text: Column, kind: str) -> tuple[Column, Column]:
     )
 
 
+def before_each(values: Column, add: Callable[[Column, Column], Column], start: Column, block: int = 128) -> Column:
+    """For each place of an array what ``add`` makes of all values in front of it. Blocks are summed first, so a place costs
+    at most its block and the blocks before, not the whole array."""
+    over = lambda part: F.aggregate(part, start, add)
+    once = lambda x, use: F.flatten(F.transform(F.array(x), use))  # noqa: E731  x is evaluated once, then named inside
+    own = lambda i: F.floor(i / block).cast("int")
+
+    def of(vs: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), own(F.size(vs))), lambda j: over(F.slice(vs, j * block + 1, block)))
+        place = lambda heads: F.transform(vs, lambda v, i: add(F.get(heads, own(i)), over(F.slice(vs, own(i) * block + 1, i % block))))
+        return once(sums, lambda bs: once(F.transform(bs, lambda b, j: over(F.slice(bs, 1, j))), place))
+
+    return once(values, of)
+
+
 def placed(found: Column, pieces: Column) -> Column:
     """The matches with their places: each starts after all pieces and matches in front of it."""
     n = F.size(found)
-    rows = F.arrays_zip(F.slice(pieces, 1, n).alias("p"), found.alias("m"), F.slice(pieces, 2, n).alias("q"))
-    state = f"struct<at:int,out:array<{HIT}>>"
+    spans = F.zip_with(F.slice(pieces, 1, n), found, lambda p, m: F.length(p) + F.length(m))
+    fronts = before_each(spans, lambda a, x: a + x, F.lit(0))
+    rows = F.arrays_zip(fronts.alias("at"), F.slice(pieces, 1, n).alias("p"), found.alias("m"), F.slice(pieces, 2, n).alias("q"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["0"])
-        e = s + F.length(x["1"])
-        hit = F.struct(s.alias("s"), e.alias("e"), x["1"].alias("m"), F.right(x["0"], F.lit(24)).alias("before"), F.left(x["2"], F.lit(8)).alias("after"))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out")).cast(state)
+    def hit(x: Column) -> Column:
+        s = x["0"] + F.length(x["1"])
+        return F.struct(s.alias("s"), (s + F.length(x["2"])).alias("e"), x["2"].alias("m"), F.right(x["1"], F.lit(24)).alias("before"), F.left(x["3"], F.lit(8)).alias("after")).cast(HIT)
+
+    named = F.transform(rows, lambda x: F.struct(x["at"].alias("0"), x["p"].alias("1"), x["m"].alias("2"), x["q"].alias("3")))
+    return F.when(n > 0, F.transform(named, hit)).otherwise(F.array().cast(f"array<{HIT}>"))
+
+
+def apart_from(spans: Column, taken: Column) -> Column:
+    """The spans that touch none of ``taken``: in the order of places, the furthest end of all that begin before a span
+    ends must not pass its start. Sorted once, never pair by pair."""
+    asks = F.transform(spans, lambda c: F.struct(c["e"].alias("at"), F.lit(0).alias("known"), F.lit(0).alias("end"), c.alias("span")))
+    stands = F.transform(taken, lambda b: F.struct(b["s"].alias("at"), F.lit(1).alias("known"), b["e"].alias("end"), b.alias("span")))
+    line = F.array_sort(F.concat(asks, stands))
+
+    def judged(x: Column) -> Column:
+        ends = before_each(F.transform(x, lambda y: y["end"]), lambda a, y: F.greatest(a, y), F.lit(0))
+        both = F.zip_with(x, ends, lambda y, end: F.struct(y.alias("y"), end.alias("end")))
+        return F.transform(F.filter(both, lambda z: (z["y"]["known"] == 0) & (z["end"] <= z["y"]["span"]["s"])), lambda z: z["y"]["span"])
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{HIT}>").alias("out")).cast(state)
-    named = F.transform(rows, lambda x: F.struct(x["p"].alias("0"), x["m"].alias("1"), x["q"].alias("2")))
-    return F.aggregate(named, start, step, lambda acc: acc["out"])
+    return F.when((F.size(spans) > 0) & (F.size(taken) > 0), F.flatten(F.transform(F.array(line), judged))).otherwise(spans)
 
 
 def digits_of(m: Column) -> Column:
@@ -204,8 +232,9 @@ def find_personal_data(
 
     base holds the valid matches of the four base patterns; spans holds them and the selected candidates. Generators
     propose long keys, long digit groups and written-out addresses; boosted trees score each by its format and what
-    stands around it; those above the calibrated threshold that touch no base span are taken, of overlapping ones the
-    best (of equal ones the first). One pass, no shuffle, whole texts.
+    stands around it; those above the calibrated threshold are taken, kind by kind in the order of ADDED, where they touch
+    no span that is taken already. One pass, no shuffle, whole texts; the work grows with the hits of a text, not with
+    their pairs.
 
     A null text counts as empty. Null ids pass unchanged, repeated rows give repeated results, an empty table none;
     other columns are neither read nor returned.
@@ -218,18 +247,15 @@ def find_personal_data(
     def span(k: str, c: Column) -> Column:
         return F.struct(c["s"].alias("s"), F.lit((BASE + ADDED).index(k)).alias("k"), c["e"].alias("e")).cast(SPAN)
 
-    def scored_span(k: str, c: Column) -> Column:
-        return F.struct(as_expression(trees, [x.cast("double") for x in features(k, c)]).alias("z"), span(k, c).alias("at"))
+    def likely(k: str, c: Column) -> Column:
+        return as_expression(trees, [x.cast("double") for x in features(k, c)]) >= threshold
 
     base = F.array_sort(F.concat(*[F.transform(F.filter(f"hit_{k}", each(lambda k, c: is_valid(k, c["m"]), k)), each(span, k)) for k in BASE]))
-    scored = F.concat(*[F.transform(F.col(f"hit_{k}"), each(scored_span, k)) for k in ADDED])
-    likely = F.filter(scored, lambda c: c["z"] >= threshold)
-    apart = lambda a, b: (a["e"] <= b["s"]) | (b["e"] <= a["s"])
-    free = F.filter("likely", lambda c: F.forall("base", lambda b: apart(c["at"], b)))
-    beats = lambda o, c: (o["z"] > c["z"]) | ((o["z"] == c["z"]) & ((o["at"]["s"] < c["at"]["s"]) | ((o["at"]["s"] == c["at"]["s"]) & (o["at"]["k"] < c["at"]["k"]))))
-    best = F.filter("free", lambda c: F.forall("free", lambda o: apart(o["at"], c["at"]) | ~beats(o, c)))
-    steps = met.select("doc_id", "text", base.alias("base"), likely.alias("likely")).select("doc_id", "text", "base", free.alias("free"))
-    return steps.select("doc_id", "text", "base", F.array_sort(F.concat("base", F.transform(best, lambda c: c["at"]))).alias("spans"))
+    steps = met.select("doc_id", "text", base.alias("base"), *[F.transform(F.filter(f"hit_{k}", each(likely, k)), each(span, k)).alias(f"likely_{k}") for k in ADDED])
+    steps = steps.withColumn("spans", F.col("base"))
+    for k in ADDED:
+        steps = steps.withColumn("more", apart_from(F.col(f"likely_{k}"), F.col("spans"))).withColumn("spans", F.concat("spans", "more"))
+    return steps.select("doc_id", "text", "base", F.array_sort("spans").alias("spans"))
 
 
 def joined(spans: Column) -> Column:

@@ -5,7 +5,6 @@ The vocabulary is read through the sentencepiece library; encoding and decoding
 
 from __future__ import annotations
 
-import heapq
 import re
 from functools import lru_cache
 
@@ -25,9 +24,6 @@ def chunks(text: str | None) -> list[str]:
 class PieceVocabulary:
     """Pieces, scores and merge table of one BPE model with byte fallback and identity normalisation."""
 
-    #: Chunks of more symbols are merged with a heap, in n log n steps, instead of in rounds.
-    LONG = 192
-
     def __init__(self, model_path: str):
         import sentencepiece
 
@@ -46,13 +42,20 @@ class PieceVocabulary:
         scores = sorted({sp.get_score(i) for i in normal.values()}, reverse=True)
         place = {s: k for k, s in enumerate(scores)}  # equal scores share a rank: the leftmost pair goes first
         self.width = size + len(chars)
-        pairs = {}
+        pairs: dict[int, tuple[int, int]] = {}
         for p, i in normal.items():
             for k in range(1, len(p)):
                 a, b = self.symbol.get(p[:k]), self.symbol.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a * self.width + b] = (place[sp.get_score(i)], i)
-        self.pairs = pairs
+        # Where no pair that holds the made symbol ranks before it, all pairs of that rank may merge in the same round.
+        least_use: dict[int, int] = {}
+        for k, (r, _) in pairs.items():
+            for part in divmod(k, self.width):
+                least_use[part] = min(r, least_use.get(part, r))
+        self.together = np.ones(len(scores) + 1, dtype=bool)
+        for r, made in pairs.values():
+            self.together[r] &= least_use.get(made, r + 1) > r
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.rank = np.array([pairs[k][0] for k in self.keys.tolist()] + [NONE], dtype=np.int64)
         self.made = np.array([pairs[k][1] for k in self.keys.tolist()] + [-1], dtype=np.int64)
@@ -75,8 +78,11 @@ class PieceVocabulary:
         return symbols, np.repeat(np.arange(len(words)), [len(w) for w in words])
 
     def merge_rounds(self, words: list[str]) -> list[list[int]]:
-        """Symbols of each word after all merges. In each round every word merges its leftmost pair of least rank,
-        all words at once; finished words leave the arrays."""
+        """Symbols of each word after all merges. In each round every word merges its pairs of least rank from the left, all
+        words at once; finished words leave the arrays. The library merges one pair at a time, the leftmost of least
+        rank. Where every pair that holds the new symbol ranks behind it (``together``, looked up for each rank when the
+        vocabulary is read), or those that it forms with the symbols beside it do, it takes all pairs of that rank before
+        any other, so they merge in one round; else the word's leftmost pair merges alone."""
         out: list[list[int]] = [[] for _ in words]
         symbols, word = self._symbols(words)
         while len(symbols):
@@ -92,7 +98,21 @@ class PieceVocabulary:
                     s = starts[k]
                     out[word[s]] = symbols[s : s + lengths[k]].tolist()
             hits = np.flatnonzero((rank == np.repeat(least, lengths)) & ~done)
-            first = hits[np.append(True, word[hits][1:] != word[hits][:-1])] if len(hits) else hits
+            # of pairs that overlap every second one from the left, or the first of the word alone
+            opens = np.append(True, hits[1:] != hits[:-1] + 1)[: len(hits)]
+            leads = np.append(True, word[hits][1:] != word[hits][:-1])[: len(hits)]
+            place = np.arange(len(hits))
+            odd = (place - np.maximum.accumulate(np.where(opens, place, 0))) % 2 == 1
+            # a rank with earlier uses of its symbol: those that its merges would make here decide
+            several = ~odd & ~self.together[rank[hits]]
+            if several.any():
+                at, new = hits[several], self.made[pair[hits[several]]]
+                after = np.append(symbols, [-1, -1])
+                left = np.where(np.isin(at - 2, at) & same[at - 1], new, np.where((at > 0) & same[at - 1], symbols[at - 1], -1))
+                right = np.where(np.append(same, [False, False])[at + 1], after[at + 2], -1)
+                sooner = np.minimum(self.rank[self._find(left, new)], self.rank[self._find(new, right)]) <= rank[at]
+                odd |= np.isin(word[hits], word[at[sooner]]) & ~leads
+            first = hits[~odd]
             symbols = symbols.copy()
             symbols[first] = self.made[pair[first]]
             keep = ~done
@@ -100,37 +120,6 @@ class PieceVocabulary:
             symbols, word = symbols[keep], word[keep]
         return out
 
-    def merge_heap(self, chunk: str) -> list[int]:
-        """The same result for one long chunk, with a heap over a linked list."""
-        sym = self._symbols([chunk])[0].tolist()
-        n = len(sym)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = nxt[i]
-            if j < n and sym[i] >= 0 and sym[j] >= 0 and (found := self.pairs.get(sym[i] * self.width + sym[j])):
-                heap.append((found[0], i, sym[i], sym[j])) if not started else heapq.heappush(heap, (found[0], i, sym[i], sym[j]))
-
-        started = False
-        for i in range(n):
-            push(i)
-        heapq.heapify(heap)
-        started, gone = True, bytearray(n)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if gone[i] or j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], gone[j] = self.pairs[a * self.width + b][1], 1
-            nxt[i] = nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            push(i)
-            if prv[i] >= 0:
-                push(prv[i])
-        return [s for s, dead in zip(sym, gone, strict=True) if not dead]
-
     def ids(self, symbols: list[int]) -> list[int]:
         """Piece ids of merged symbols; what has no piece becomes the bytes of its UTF-8 form."""
         out = []
@@ -144,9 +133,7 @@ class PieceVocabulary:
 
     def encode_chunks(self, words: list[str]) -> list[list[int]]:
         """Ids of each chunk."""
-        short = [w for w in words if len(w) <= self.LONG]
-        merged = iter(self.merge_rounds(short) if short else [])
-        return [self.ids(next(merged) if len(w) <= self.LONG else self.merge_heap(w)) for w in words]
+        return [self.ids(symbols) for symbols in self.merge_rounds(words)] if words else []
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces and byte runs joined, marks as spaces, the added space in front dropped."""
