@@ -1,46 +1,89 @@
-"""Rate tables, model resolution and pricing."""
+"""Rate tables, model resolution and pricing.
+
+A rate table is flat: each row names prices of one key in one tier from one day on. A row of the base tier may name only
+what changes; a row of the tier above ``over`` prompt tokens stands for that tier as a whole. Every later step works on
+the validity intervals that effective_rates() makes of these rows.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.scalars import clean_model, is_placeholder
+from ..session import written
 
-_PRICES = "input decimal(12,6), output decimal(12,6), cache_read decimal(12,6), cache_write_5m decimal(12,6), cache_write_1h decimal(12,6), cache_write_30m decimal(12,6)"
-_LONG = f"long_context struct<threshold: bigint, {_PRICES.replace(' decimal', ': decimal')}>"
-RATE_SCHEMA = f"key string, {_PRICES}, {_LONG}, next_pricing struct<starts_on: string, {_PRICES.replace(' decimal', ': decimal')}, {_LONG.replace('long_context ', 'long_context: ')}>"
-PRICE_NAMES = ["input", "output", "cache_read", "cache_write_5m", "cache_write_1h", "cache_write_30m"]
+PRICE_NAMES = ["input", "output", "cache_read", "write_5m", "write_1h", "write_30m"]
+RATE_SCHEMA = "key string, starts string, over bigint, " + ", ".join(f"{p} decimal(12,6)" for p in PRICE_NAMES)
+FIRST_DAY, LAST_DAY = "0000-01-01", "9999-12-31"
+#: Short names of the prices; a missing write price is the first of these that is named.
+SHORT = {"in": ["input"], "out": ["output"], "read": ["cache_read"], **{x: [f"write_{x}", "write_5m", "write_30m", "write_1h"] for x in ("5m", "1h", "30m")}}
+#: Rated models that are broadcast at most; beyond it the join is left to the optimizer.
+BROADCAST_ROWS = 100_000
 
-#: A compact rate table (USD per million tokens) that holds every shape an entry can have.
+#: A compact rate table (USD per million tokens), in the order of RATE_SCHEMA.
 DEFAULT_RATES = [
-    {"key": "default", "input": 2, "output": 8, "cache_read": 0.2, "cache_write_5m": 2.5},
-    {"key": "atlas-3", "input": 3, "output": 15, "cache_read": 0.3, "cache_write_5m": 3.75, "cache_write_1h": 6,
-     "long_context": {"threshold": 200000, "input": 6, "output": 22.5, "cache_read": 0.6, "cache_write_5m": 7.5, "cache_write_1h": 12}},
-    {"key": "atlas-3.5", "input": 4, "output": 16, "cache_read": 0.4, "cache_write_5m": 5, "cache_write_1h": 8},
-    {"key": "borea-2", "input": 1.25, "output": 10, "cache_read": 0.125, "cache_write_30m": 1.5,
-     "next_pricing": {"starts_on": "2024-01-15", "input": 1, "output": 8}},
-    {"key": "borea-2-mini", "input": 0.25, "output": 2, "cache_read": 0.003625},
-    {"key": "cirrus-4.1", "input": 2, "output": 10, "cache_read": 0.5, "long_context": {"threshold": 128000, "input": 4, "output": 20}},
-    {"key": "cirrus-4.1-fast", "input": 4, "output": 20, "cache_read": 1, "long_context": {"threshold": 100000, "input": 8, "output": 40},
-     "next_pricing": {"starts_on": "2024-01-20", "input": 5, "long_context": {"threshold": 272000, "input": 10}}},
-    {"key": "dorado-5", "input": 5, "output": 25, "cache_read": 0.5, "cache_write_5m": 6.25, "cache_write_1h": 10},
-    {"key": "local-llm", "input": 0, "output": 0, "cache_read": 0},
-]
-
-#: Rules in order: (guard, strict, [(pattern, key)]). A strict rule decides alone for every model its guard matches;
-#: the others are asked only if no key is a prefix. The key may use the pattern's groups.
+    ("default", None, None, "2", "8", "0.2", "2.5", None, None),
+    ("atlas-3", None, None, "3", "15", "0.3", "3.75", "6", None),
+    ("atlas-3", None, 200_000, "6", "22.5", "0.6", "7.5", "12", None),
+    ("atlas-3.5", None, None, "4", "16", "0.4", "5", "8", None),
+    ("borea-2", None, None, "1.25", "10", "0.125", None, None, "1.5"),
+    ("borea-2", "2024-01-15", None, "1", "8", None, None, None, None),
+    ("borea-2-mini", None, None, "0.25", "2", "0.003625", None, None, None),
+    ("cirrus-4.1", None, None, "2", "10", "0.5", None, None, None),
+    ("cirrus-4.1", None, 128_000, "4", "20", None, None, None, None),
+    ("cirrus-4.1-fast", None, None, "4", "20", "1", None, None, None),
+    ("cirrus-4.1-fast", None, 100_000, "8", "40", None, None, None, None),
+    ("cirrus-4.1-fast", "2024-01-20", None, "5", None, None, None, None, None),
+    ("cirrus-4.1-fast", "2024-01-20", 272_000, "10", None, None, None, None, None),
+    ("dorado-5", None, None, "5", "25", "0.5", "6.25", "10", None),
+    ("local-llm", None, None, "0", "0", "0", None, None, None),
+]
+
+
+@dataclass(frozen=True)
+class Family:
+    """How names that start with ``starts`` may borrow a price.
+
+    ``closed``: only from the name without a date or one of ``suffixes`` behind it. ``variant``: names that hold it are
+    another product and borrow only from the name without one of ``fillers`` in front of it. ``heirs``: keys to ask in
+    turn when no key is a prefix of the name.
+    """
+
+    starts: str
+    closed: bool = False
+    suffixes: tuple[str, ...] = ()
+    variant: str = ""
+    fillers: tuple[str, ...] = ()
+    heirs: tuple[str, ...] = ()
+
+    def claims(self, name: Column) -> Column:
+        """Whether this family alone decides about the name."""
+        mine = name.startswith(self.starts)
+        return mine if self.closed else mine & name.contains(self.variant) if self.variant else F.lit(False)
+
+    def lenders(self, name: Column) -> Column:
+        """The keys that a claimed name may use, best first."""
+        if self.closed:
+            dated = F.when(F.right(name, F.lit(9)).rlike("^-[0-9]{8}$"), F.left(name, F.length(name) - 9))
+            return F.array(name, dated, *[F.when(name.endswith(f"-{s}"), F.left(name, F.length(name) - len(s) - 1)) for s in self.suffixes])
+        return F.array(name, *[F.when(name.endswith(f + self.variant), F.replace(name, F.lit(f + self.variant), F.lit(self.variant))) for f in self.fillers])
+
+
 DEFAULT_RULES = [
-    (r"^cirrus-4.*-fast", True, [(r"^cirrus-(4\.\d+)(?:-(?:build|high))?-fast$", "cirrus-$1-fast")]),
-    (r"^dorado-", True, [(r"^(.*)$", "$1"), (r"^(.*)-20\d{6}$", "$1"), (r"^(.*)-(?:low|thinking|thinking-high)$", "$1")]),
-    (r"^atlas", False, [(r"^.*$", "atlas-3.5"), (r"^.*$", "atlas-3")]),
-    (r"^borea", False, [(r"^.*$", "borea-3"), (r"^.*$", "borea-2")]),
-    (r"^cirrus", False, [(r"^.*$", "cirrus-4.1")]),
+    Family("cirrus-4", variant="-fast", fillers=("-build", "-high")),
+    Family("dorado-", closed=True, suffixes=("low", "thinking", "thinking-high")),
+    Family("atlas", heirs=("atlas-3.5", "atlas-3")),
+    Family("borea", heirs=("borea-3", "borea-2")),
+    Family("cirrus", heirs=("cirrus-4.1",)),
 ]
 
 
 def load_rates(spark: SparkSession, path: str) -> DataFrame:
-    """Rate entries, one JSON object a line. The table must hold the key ``default``."""
+    """Rate rows, one JSON object a line with the names of RATE_SCHEMA. The table must hold the key ``default``."""
     rates = spark.read.schema(RATE_SCHEMA).json(path)
     if rates.filter("key = 'default'").isEmpty():
         raise ValueError("the rate table has no default entry")
@@ -48,91 +91,88 @@ def load_rates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def default_rates(spark: SparkSession) -> DataFrame:
-    import json
-
-    lines = spark.createDataFrame([(json.dumps(r),) for r in DEFAULT_RATES], "line string")
-    return lines.select(F.from_json("line", RATE_SCHEMA).alias("r")).select("r.*")
+    rows = spark.createDataFrame(DEFAULT_RATES, "key string, starts string, over bigint, " + ", ".join(f"{p} string" for p in PRICE_NAMES))
+    return rows.select("key", "starts", "over", *[F.col(p).cast("decimal(12,6)").alias(p) for p in PRICE_NAMES])
 
 
 def effective_rates(rates: DataFrame) -> DataFrame:
     """One row a key and validity interval [valid_from, valid_to): both tiers' prices and the threshold between them.
 
-    A later price replaces the fields it names from its start on, a nested long-context tier as a whole; then the
-    long-context tier replaces the fields it names. A write price that is missing is the first of 5m, 30m, 1h, or 0.
+    At each day on which a key's rows change something, a base price is the last one named, the upper tier the last row
+    of that tier; what that row leaves open is the base price. A missing write price is the first of 5m, 30m, 1h that
+    the same tier has, or 0.
     """
-    nxt, starts = F.col("next_pricing"), F.col("next_pricing.starts_on")
-    base = [F.col(p).alias(p) for p in PRICE_NAMES]
-    before = rates.select("key", F.lit("0000-01-01").alias("valid_from"), F.coalesce(starts, F.lit("9999-12-31")).alias("valid_to"), *base, "long_context")
-    after = rates.filter(starts.isNotNull()).select(
-        "key", starts.alias("valid_from"), F.lit("9999-12-31").alias("valid_to"),
-        *[F.coalesce(nxt[p], F.col(p)).alias(p) for p in PRICE_NAMES], F.coalesce(nxt["long_context"], F.col("long_context")).alias("long_context"),
+    base = F.col("over").isNull()
+    days = rates.groupBy("key", F.coalesce("starts", F.lit(FIRST_DAY)).alias("valid_from")).agg(
+        *[F.max(F.when(base, F.col(p))).alias(p) for p in PRICE_NAMES], F.max(F.when(~base, F.struct("over", *PRICE_NAMES))).alias("tier")
+    )
+    of_key = Window.partitionBy("key").orderBy("valid_from")
+    so_far = of_key.rowsBetween(Window.unboundedPreceding, 0)
+    named = days.select(
+        "key", "valid_from", F.coalesce(F.lead("valid_from").over(of_key), F.lit(LAST_DAY)).alias("valid_to"),
+        *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in [*PRICE_NAMES, "tier"]],
     )
-    zero = F.lit(0).cast("decimal(12,6)")
+    upper = lambda p: F.coalesce(F.col(f"tier.{p}"), F.col(p))
+    price = lambda of, names: F.coalesce(*[of(p) for p in names], F.lit(0)).cast("decimal(12,6)")
+    prices = [price(of, names).alias(f"{tier}_{short}") for tier, of in (("r", F.col), ("l", upper)) for short, names in SHORT.items()]
+    return named.select("key", "valid_from", "valid_to", F.col("tier.over").alias("threshold"), *prices)
+
 
-    def tier(p: str, long: bool) -> Column:
-        price = lambda name: F.coalesce(F.col("long_context")[name], F.col(name)) if long else F.col(name)
-        if p.startswith("cache_write"):
-            return F.coalesce(price(p), *[price(f"cache_write_{x}") for x in ("5m", "30m", "1h")], zero)
-        return F.coalesce(price(p), zero)
+def prefixes(name: Column) -> Column:
+    """The name's own beginnings, longest first, that may lend it a price: not across a version. What follows may not
+    start with a dot unless the beginning has one, nor be a dash with one or two digits."""
 
-    short = {"input": "in", "output": "out", "cache_read": "read", "cache_write_5m": "5m", "cache_write_1h": "1h", "cache_write_30m": "30m"}
-    columns = [tier(p, x == "l").cast("decimal(12,6)").alias(f"{x}_{s}") for x in ("r", "l") for p, s in short.items()]
-    return before.unionByName(after).select("key", "valid_from", "valid_to", F.col("long_context.threshold").alias("threshold"), *columns)
+    def usable(n: Column) -> Column:
+        head, rest = F.left(name, n), F.substring(name, n + 1, F.length(name))
+        other_version = (rest.startswith(".") & ~head.contains(".")) | rest.rlike(r"^-[0-9]{1,2}(?![0-9])")
+        return F.when(~other_version, head)
 
+    return F.transform(F.when(F.length(name) > 0, F.sequence(F.length(name), F.lit(1), F.lit(-1))), usable)
 
-def resolve_price_key(models: DataFrame, rates: DataFrame, rules=None) -> DataFrame:
+
+def resolve_price_key(models: DataFrame, rates: DataFrame, rules: list[Family] | None = None) -> DataFrame:
     """model, clean, key, status for every distinct model.
 
-    Order: a strict rule; else the longest key that starts the cleaned name, unless what follows is ``.`` and the key
-    has none, or ``-`` with one or two digits; else a family rule. Prefixes are found by joining the name's own
-    prefixes to the keys, so no name is compared with every key. status is exact, borrowed, unknown or placeholder.
+    A family that claims a name decides alone; else the longest allowed beginning of the name that is a key, else the
+    heirs of its families. A name offers keys, which are joined to the table: no name is compared with every key.
+    status is exact, borrowed, unknown or placeholder.
     """
     rules = DEFAULT_RULES if rules is None else rules
     distinct = models.select("model").distinct().withColumn("clean", clean_model(F.col("model")))
-    clean = F.col("clean")
-    strict = F.lit(False)
-    offers = []
-    for i, (guard, alone, choices) in enumerate(rules):
-        hit = clean.rlike(guard) & ~(strict if alone else F.lit(False))
-        for j, (pattern, key) in enumerate(choices):
-            place = F.lit((0 if alone else 100_000) + i * 100 + j)
-            offers.append(F.when(hit & clean.rlike(pattern), F.struct(place.alias("place"), F.regexp_replace(clean, pattern, key).alias("key"), F.lit(alone).alias("strict"))))
-        if alone:
-            strict = strict | clean.rlike(guard)
-    rest = lambda n: F.substring(clean, n + 1, F.length(clean))
-    prefixes = F.transform(
-        F.when(F.length(clean) > 0, F.sequence(F.lit(1), F.length(clean))).otherwise(F.array().cast("array<int>")),
-        lambda n: F.when(
-            ~(rest(n).startswith(".") & ~F.substring(clean, F.lit(1), n).contains(".")) & ~rest(n).rlike(r"^-\d{1,2}(?!\d)"),
-            F.struct((1000 + F.length(clean) - n).alias("place"), F.substring(clean, F.lit(1), n).alias("key"), F.lit(False).alias("strict")),
-        ),
-    )
-    offered = distinct.withColumn("is_strict", strict).select("model", "clean", "is_strict", F.explode(F.concat(prefixes, F.array(*offers))).alias("o"))
-    usable = offered.filter(F.col("o").isNotNull() & (F.col("o.strict") == F.col("is_strict"))).select("model", "o.place", F.col("o.key").alias("key"))
-    found = usable.join(F.broadcast(rates.filter("key <> 'default'").select("key")), "key").groupBy("model").agg(F.min_by("key", "place").alias("key"))
-    status = F.when(is_placeholder(F.col("model")), "placeholder").when(F.col("key").isNull(), "unknown").when(F.col("key") == clean, "exact").otherwise("borrowed")
+    name, none = F.col("clean"), F.array().cast("array<string>")
+    heirs = [F.when(name.startswith(f.starts), F.array(*[F.lit(h) for h in f.heirs])).otherwise(none) for f in rules if f.heirs]
+    offers = F.concat(F.coalesce(prefixes(name), none), *heirs)
+    for family in reversed(rules):
+        offers = F.when(family.claims(name), family.lenders(name)).otherwise(offers)
+    offered = distinct.select("model", F.posexplode(offers).alias("place", "key")).filter("key IS NOT NULL")
+    keys = rates.select("key").filter("key <> 'default'").distinct()
+    found = offered.join(keys, "key").groupBy("model").agg(F.min_by("key", "place").alias("key"))
+    status = F.when(is_placeholder(F.col("model")), "placeholder").when(F.col("key").isNull(), "unknown").when(F.col("key") == name, "exact").otherwise("borrowed")
     return distinct.join(found, "model", "left").withColumn("status", status)
 
 
-def rated_models(models: DataFrame, rates: DataFrame, rules=None) -> DataFrame:
+def rated_models(models: DataFrame, rates: DataFrame, rules: list[Family] | None = None) -> DataFrame:
     """model, key, status and the model's price intervals; unknown models and placeholders get the default's."""
     resolved = resolve_price_key(models, rates, rules).withColumn("price_key", F.coalesce("key", F.lit("default")))
     prices = effective_rates(rates).withColumnRenamed("key", "price_key")
-    return resolved.join(F.broadcast(prices), "price_key").drop("clean", "price_key")
+    return resolved.join(prices, "price_key").drop("clean", "price_key")
 
 
-def with_rates(events: DataFrame, rates: DataFrame, rules=None) -> DataFrame:
+def with_rates(events: DataFrame, rates: DataFrame, rules: list[Family] | None = None) -> DataFrame:
     """Events (derived, see functions.measures) with the prices of their own local day and context tier: p_in, p_out,
     p_read, p_5m, p_1h, status and price_key. The tier is decided for each record: above the threshold, not at it; an
-    unknown prompt is the base tier."""
-    rated = rated_models(events, rates, rules).withColumnsRenamed({"model": "rated_model", "key": "price_key"})
+    unknown prompt is the base tier.
+
+    The models are resolved once, from a scan of their column alone, and written. The few rows are counted; up to
+    BROADCAST_ROWS of them are broadcast, so that the ledger is read once more and not shuffled before its sums.
+    """
+    rated = written(rated_models(events, rates, rules).withColumnsRenamed({"model": "rated_model", "key": "price_key"}))
+    rated = F.broadcast(rated) if rated.count() <= BROADCAST_ROWS else rated
     day = F.date_format("date_local", "yyyy-MM-dd")
     same = F.col("model").eqNullSafe(F.col("rated_model")) & (day >= F.col("valid_from")) & (day < F.col("valid_to"))
-    joined = events.join(rated, same)
     is_long = F.coalesce(F.col("request_prompt_tokens") > F.col("threshold"), F.lit(False))
-    priced = joined.withColumns({f"p_{c}": F.when(is_long, F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")) for c in ("in", "out", "read", "5m", "1h")})
-    drop = [f"{a}_{c}" for a in "rl" for c in ("in", "out", "read", "5m", "1h", "30m")]
-    return priced.drop(*drop, "rated_model", "valid_from", "valid_to", "threshold")
+    priced = events.join(rated, same).withColumns({f"p_{c}": F.when(is_long, F.col(f"l_{c}")).otherwise(F.col(f"r_{c}")) for c in SHORT})
+    return priced.drop(*[f"{a}_{c}" for a in "rl" for c in SHORT], "p_30m", "rated_model", "valid_from", "valid_to", "threshold")
 
 
 def amount(tokens: str, price: str) -> Column:
@@ -154,7 +194,7 @@ def usd(micro: Column, places: int = 4) -> Column:
     return F.round(micro.cast("double") / 1e6, places)
 
 
-def price_events(events: DataFrame, rates: DataFrame, rules=None) -> DataFrame:
+def price_events(events: DataFrame, rates: DataFrame, rules: list[Family] | None = None) -> DataFrame:
     """Events with cost_micro and saved_micro, exact decimals, for each record."""
     return with_rates(events, rates, rules).withColumns({"cost_micro": micro_cost(), "saved_micro": micro_savings()})
 
@@ -162,7 +202,7 @@ def price_events(events: DataFrame, rates: DataFrame, rules=None) -> DataFrame:
 SUMS = ["input_tokens", "output_billed", "cache_read_tokens", "cache_creation_tokens", "cache_creation_1h_tokens", "reasoning_tokens", "total_norm"]
 
 
-def priced_groups(events: DataFrame, rates: DataFrame, keys: list[str], rules=None) -> DataFrame:
+def priced_groups(events: DataFrame, rates: DataFrame, keys: list[str], rules: list[Family] | None = None) -> DataFrame:
     """Token sums, records and exact costs by ``keys`` and price: the one pass over the ledger that reports build on.
 
     Tokens are summed as integers map-side first; decimals are multiplied only on the few groups.
@@ -172,7 +212,7 @@ def priced_groups(events: DataFrame, rates: DataFrame, keys: list[str], rules=No
     return grouped.withColumns({"cost_micro": micro_cost(), "saved_micro": micro_savings()}).drop(*prices)
 
 
-def classify_models(models: DataFrame, rates: DataFrame, rules=None) -> DataFrame:
+def classify_models(models: DataFrame, rates: DataFrame, rules: list[Family] | None = None) -> DataFrame:
     """model, status (exact, borrowed, unknown, placeholder) and the entry a borrowed price comes from."""
     got = resolve_price_key(models, rates, rules)
     return got.select("model", "status", F.when(F.col("status") == "borrowed", F.col("key")).alias("priced_as"))

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.measures import RECORD, with_derived
+from ..functions.measures import RECORD, as_records, with_derived
 from ..operators.merge import merge_first, supersede_base
 from ..sources import counters, inference
 from ..sources.sinks import read_ledger, write_ledger
@@ -62,83 +63,128 @@ def stream_ledger(records: DataFrame, ledger: str, checkpoint: str, merge: Calla
     return records.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-COUNTER_STATE = "model string, project string, meta_cwd string, sid string, prev array<bigint>, fork string, pending boolean, skipping boolean, place int"
+COUNTER_STATE = "model string, project string, first_cwd string, sid string, base array<bigint>, counted boolean, replay array<bigint>, met boolean"
 COUNTER_OUT = "rollout string, path string, pos long, ts long, model string, project string, session_id string, input_tokens long, cache_read_tokens long, output_tokens long, reasoning_tokens long, total_tokens long, request_prompt_tokens long"
 PARTS = list(counters.PARTS)
+INP, CACHED, OUT, REASON, TOTAL = range(5)
 
 
-def _whole(v) -> int:
-    return 0 if v is None or pd.isna(v) else int(v)
+def _carried(values: pd.Series, where: np.ndarray, before: str | None) -> pd.Series:
+    """For each row the last non-empty value of the rows ``where`` up to it, or the one from earlier batches."""
+    own = values.where(where & values.notna() & (values != ""))
+    return own.ffill().fillna(before) if before else own.ffill()
 
 
-def _text(v) -> str | None:
-    return None if v is None or pd.isna(v) or v == "" else str(v)
+def replayed(totals: np.ndarray, parent: np.ndarray, met: bool) -> int:
+    """How many of a forked file's next totals repeat its parent: the first is looked up in the parent's totals unless
+    that was done in an earlier batch (``met``: then ``parent`` holds what may follow); the rest must go on from there.
+    Of an unknown parent only the first row counts as repeated."""
+    if not met:
+        if not len(parent):
+            return 1
+        places = np.flatnonzero(parent == totals[0])
+        if not len(places):
+            return 0
+        parent = parent[places[0] :]
+    n = min(len(totals), len(parent))
+    differs = np.flatnonzero(totals[:n] != parent[:n])
+    return int(differs[0]) if len(differs) else n
+
+
+def differences(now: np.ndarray, last: np.ndarray, has_last: np.ndarray, repeated: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Rises of the counters against the row before each, ``base`` before the first. Where that row is all zero, a row's
+    own last request tells what the file had inherited."""
+    before = np.vstack([base, now[:-1]])
+    inherits = (before == 0).all(axis=1) & has_last & ~repeated & (last[:, TOTAL] > 0) & ((last >= 0) & (last <= now)).all(axis=1)
+    before[inherits] = (now - last)[inherits]
+    return np.maximum(now - before, 0)
 
 
 def fold_counters(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One file's rows, in order, against the state that its earlier chunks left; the batch job's rules, row by row."""
-    kept = state.get if state.exists else (None, None, None, None, [0] * 5, None, False, False, 0)
-    model, project, meta_cwd, sid, prev, fork, pending, skipping, place = kept
-    prev, out = list(prev), []
-    rows = pd.concat(list(batches)).sort_values(["pos", "path"])
-    for r in rows.itertuples(index=False):
-        if r.kind == "meta":
-            sid = _text(r.meta_id) or sid
-            meta_cwd = meta_cwd or _text(r.cwd)
-            if _text(r.parent) and not any(prev):
-                pending, fork = True, fork or _text(r.parent)
-            continue
-        if r.kind == "turn":
-            model, project = _text(r.turn_model) or model, _text(r.cwd) or project
-            continue
-        cur = [_whole(getattr(r, c)) for c in PARTS]
-        totals = [] if r.parent_totals is None else [int(x) for x in r.parent_totals]
-        if pending:
-            pending = False
-            if not any(prev):
-                if not totals:
-                    prev = cur
-                    continue
-                if cur[4] in totals:
-                    place, skipping, prev = totals.index(cur[4]), True, cur
-                    continue
-        if skipping:
-            if place + 1 < len(totals) and totals[place + 1] == cur[4]:
-                place, prev = place + 1, cur
-                continue
-            skipping = False
-        if not r.ts:
-            continue
-        if not any(prev):
-            last = [_whole(getattr(r, f"last_{c}")) for c in PARTS]
-            if r.any_last and last[4] > 0 and all(0 <= a <= b for a, b in zip(last, cur, strict=True)):
-                prev = [b - a for a, b in zip(last, cur, strict=True)]
-        rise = [max(0, b - a) for a, b in zip(prev, cur, strict=True)]
-        prev = cur
-        if not rise[4]:
-            continue
-        d_in = max(0, rise[4] - rise[2])
-        cached = min(rise[1], d_in)
-        known = r.has_last and 0 <= _whole(r.last_cached) <= _whole(r.last_inp)
-        owner = sid or _text(r.own) or ""
-        out.append((key[0], r.path, r.pos, r.ts, model or counters.DEFAULT_MODEL, project or meta_cwd or "unknown", owner, d_in - cached, cached, rise[2], rise[3], d_in + rise[2], _whole(r.last_inp) if known else None))
-    state.update((model, project, meta_cwd, sid, prev, fork, pending, skipping, place))
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in COUNTER_OUT.split(", ")])
-    frame["request_prompt_tokens"] = frame["request_prompt_tokens"].astype("Int64")
-    yield frame
-
-
-def stream_counter_deltas(lines: DataFrame, parents: DataFrame | None = None) -> DataFrame:
-    """Records of streamed counter files. ``parents`` (parent, totals array) holds the totals of forked files' parents;
-    it is joined by the file's own fork line, which may come in an earlier micro-batch than its first counter."""
-    from ..functions.measures import as_records
+    """The rows of one file in a micro-batch, against what its earlier chunks left; same rules as the batch job.
 
+    The state: the last context, the last counters, whether any counter was above zero, and of a forked file the
+    parent's totals that may still be repeated (null: not forked, or past the replay).
+    """
+    if state.hasTimedOut:
+        state.remove()
+        return
+    model, project, first_cwd, sid, base, counted, replay, met = state.get if state.exists else (None, None, None, None, [0] * 5, False, None, False)
+    rows = pd.concat(list(batches)).sort_values(["pos", "path"], ignore_index=True)
+    meta, turn, count = ((rows["kind"] == k).to_numpy() for k in ("meta", "turn", "count"))
+    sids, models, projects = _carried(rows["meta_id"], meta, sid), _carried(rows["turn_model"], turn, model), _carried(rows["cwd"], turn, project)
+    cwds = _carried(rows["cwd"], meta, None)
+    if first_cwd or cwds.notna().any():
+        first_cwd = first_cwd or cwds.dropna().iloc[0]
+        cwds = cwds.notna().map({True: first_cwd, False: None if cwds.notna().any() and not (state.exists and state.get[2]) else first_cwd})
+
+    now = rows.loc[count, PARTS].fillna(0).to_numpy(dtype=np.int64).reshape(-1, 5)
+    last = rows.loc[count, [f"last_{c}" for c in PARTS]].fillna(-1).to_numpy(dtype=np.int64).reshape(-1, 5)
+    above = np.zeros(len(rows), dtype=bool)
+    above[count] = (now > 0).any(axis=1)
+    fresh = ~(counted | np.maximum.accumulate(above)) if len(rows) else above
+    forks = np.flatnonzero(meta & fresh & rows["parent"].notna().to_numpy() & (rows["parent"] != "").to_numpy())
+    after = np.zeros(len(now), dtype=bool) if replay is None else np.ones(len(now), dtype=bool)
+    if replay is None and len(forks) and not met:
+        totals = rows["parent_totals"].iloc[forks[0]]
+        replay = [] if totals is None else [int(x) for x in totals]
+        after = np.flatnonzero(count) > forks[0]
+    repeated = np.zeros(len(now), dtype=bool)
+    if replay is not None and after.any():
+        at, parent = np.flatnonzero(after), np.asarray(replay, dtype=np.int64)
+        n = replayed(now[at, TOTAL], parent, met)
+        repeated[at[:n]] = True
+        if not met and n and len(parent):
+            parent = parent[np.flatnonzero(parent == now[at[0], TOTAL])[0] :]
+        replay, met = (parent[n:].tolist() if n == len(at) and len(parent) > n else None), True
+
+    times = rows.loc[count, "ts"].fillna(0).to_numpy(dtype=np.int64)
+    used = repeated | (times != 0)
+    chosen = rows[count][used]
+    rise = differences(now[used], last[used], chosen["any_last"].to_numpy(dtype=bool), repeated[used], np.asarray(base)) if used.any() else np.zeros((0, 5), dtype=np.int64)
+    fed = np.maximum(rise[:, TOTAL] - rise[:, OUT], 0)
+    cached = np.minimum(rise[:, CACHED], fed)
+    prompt = last[used][:, INP]
+    known = chosen["has_last"].to_numpy(dtype=bool) & (last[used][:, CACHED] >= 0) & (last[used][:, CACHED] <= prompt)
+    place = chosen.index
+    out = pd.DataFrame({
+        "rollout": key[0], "path": chosen["path"], "pos": chosen["pos"], "ts": chosen["ts"], "model": models[place].fillna(counters.DEFAULT_MODEL),
+        "project": projects[place].fillna(cwds[place]).fillna("unknown"), "session_id": sids[place].fillna(chosen["own"]).fillna(""),
+        "input_tokens": fed - cached, "cache_read_tokens": cached, "output_tokens": rise[:, OUT], "reasoning_tokens": rise[:, REASON],
+        "total_tokens": fed + rise[:, OUT], "request_prompt_tokens": pd.array(np.where(known, prompt, 0), dtype="Int64"),
+    })
+    out.loc[~known, "request_prompt_tokens"] = pd.NA
+    end = lambda s, was: was if not len(s) or pd.isna(s.iloc[-1]) else s.iloc[-1]
+    state.update((
+        end(models, model), end(projects, project), first_cwd, end(sids, sid), [int(x) for x in (now[used][-1] if used.any() else base)],
+        bool(counted or above.any()), replay, met,
+    ))
+    yield out[~repeated[used] & (rise[:, TOTAL] > 0)]
+
+
+def stream_counter_deltas(lines: DataFrame, parents: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Records of streamed counter files. ``parents`` (child: a forked file's name, totals: its parent's totals in order)
+    is static and joined by the file's name; the totals travel with the fork line only and are kept in the state while
+    the replay lasts.
+
+    The state of a file is kept for good, since the file may grow at any time; with ``idle_ms`` it goes after so long
+    without a chunk, and a later chunk is then read as a file that inherited its counters.
+    """
     rows = counters.parse_counter_lines(lines).withColumn("own", counters.own_session(F.col("rollout")))
+    none = F.lit(None).cast("array<bigint>")
     if parents is None:
-        rows = rows.withColumn("parent_totals", F.lit(None).cast("array<bigint>"))
-    else:  # by the child's name: the fork's parent is known from the static side, whichever batch its line came in
-        rows = rows.join(parents.select(F.col("child").alias("rollout"), F.col("totals").alias("parent_totals")), "rollout", "left")
-    folded = rows.groupBy("rollout").applyInPandasWithState(fold_counters, COUNTER_OUT, COUNTER_STATE, "append", GroupStateTimeout.NoTimeout)
+        rows = rows.withColumn("parent_totals", none)
+    else:
+        named = parents.select(F.col("child").alias("rollout"), F.col("totals").cast("array<bigint>").alias("parent_totals"))
+        rows = rows.join(named, "rollout", "left").withColumn("parent_totals", F.when((F.col("kind") == "meta") & F.col("parent").isNotNull(), F.col("parent_totals")))
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        yield from fold_counters(key, batches, state)
+        if idle_ms and state.exists:
+            state.setTimeoutDuration(idle_ms)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    folded = rows.groupBy("rollout").applyInPandasWithState(fold, COUNTER_OUT, COUNTER_STATE, "append", timeout)
     key = F.concat(F.lit("codex:"), F.col("rollout"), F.lit(":"), F.col("pos").cast("string"))
     return as_records(folded, source="codex", category="main", source_file=F.col("path"), dedup_key=key)
 
@@ -147,18 +193,18 @@ INFERENCE_OUT = "path string, sid string, pos long, kind string, ts_raw string,
 
 
 def fold_inference(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Model and folder of one session of one log, carried over micro-batches."""
+    """Model and folder of one session of one log, carried over micro-batches; rows without a session carry nothing."""
     model, cwd = state.get if state.exists else (None, None)
-    rows = pd.concat(list(batches)).sort_values("pos")
-    models, projects = [], []
-    for r in rows.itertuples(index=False):
-        if key[1]:
-            model = _text(r.own_model) or model if r.kind == "model" else model
-            cwd = _text(r.own_cwd) or cwd if r.kind == "session" else cwd
-        models.append(_text(r.own_model) or model)
-        projects.append(_text(r.own_cwd) or cwd)
+    rows = pd.concat(list(batches)).sort_values("pos", ignore_index=True)
+    own_model, own_cwd = (rows[c].where(rows[c].notna() & (rows[c] != "")) for c in ("own_model", "own_cwd"))
+    if key[1]:
+        models = _carried(rows["own_model"], (rows["kind"] == "model").to_numpy(), model)
+        cwds = _carried(rows["own_cwd"], (rows["kind"] == "session").to_numpy(), cwd)
+        if len(rows):
+            model, cwd = (None if pd.isna(s.iloc[-1]) else s.iloc[-1] for s in (models, cwds))
+        own_model, own_cwd = own_model.fillna(models), own_cwd.fillna(cwds)
     state.update((model, cwd))
-    done = rows.assign(model=models, project=projects)
+    done = rows.assign(model=own_model, project=own_cwd)
     yield done[done["kind"] == "done"][[c.split()[0] for c in INFERENCE_OUT.split(", ")]]
 
 

@@ -187,7 +187,7 @@ def priced(spark, table, *rows):
 
 
 def test_tier_is_decided_for_each_record(spark):
-    table = [{"key": "default"}, {"key": "m", "input": 1, "long_context": {"threshold": 200000, "input": 2}}]
+    table = [{"key": "default"}, {"key": "m", "input": 1}, {"key": "m", "over": 200000, "input": 2}]
     rows = [dict(dedup_key=str(i), model="m", input_tokens=n, output_tokens=0, request_prompt_tokens=p) for i, (p, n) in enumerate([(150000, 150000), (150000, 150000), (200000, 0), (300000, 10000), (None, 300000)])]
     data, events = priced(spark, table, *rows)
     got = reports.export_rows(events, data, "2023-11-20", "all").collect()
@@ -195,7 +195,7 @@ def test_tier_is_decided_for_each_record(spark):
 
 
 def test_a_changed_threshold_counts_from_its_day(spark):
-    table = [{"key": "default"}, {"key": "m", "input": 1, "long_context": {"threshold": 100000, "input": 5}, "next_pricing": {"starts_on": "2023-12-01", "long_context": {"threshold": 200000, "input": 5}}}]
+    table = [{"key": "default"}, {"key": "m", "input": 1}, {"key": "m", "over": 100000, "input": 5}, {"key": "m", "starts": "2023-12-01", "over": 200000, "input": 5}]
     row = dict(model="m", input_tokens=150000, output_tokens=0, request_prompt_tokens=150000)
     data, events = priced(spark, table, row | {"dedup_key": "a"}, row | {"dedup_key": "b", "ts": 1_702_000_000})
     got = {r.dedup_key: float(r.cost_micro) / 1e6 for r in rates.price_events(events, data).collect()}
@@ -203,7 +203,7 @@ def test_a_changed_threshold_counts_from_its_day(spark):
 
 
 def test_hour_writes_reasoning_and_savings(spark):
-    table = [{"key": "default"}, {"key": "m", "input": 10, "output": 1, "cache_read": 1, "cache_write_5m": 2.5, "cache_write_1h": 4}, {"key": "all", "input": 1, "output": 1, "cache_read": 1}]
+    table = [{"key": "default"}, {"key": "m", "input": 10, "output": 1, "cache_read": 1, "write_5m": 2.5, "write_1h": 4}, {"key": "all", "input": 1, "output": 1, "cache_read": 1}]
     million = 10**6
     data, events = priced(
         spark, table, dict(model="m", input_tokens=0, output_tokens=0, cache_creation_tokens=700_000, cache_creation_1h_tokens=300_000, cache_read_tokens=million),
