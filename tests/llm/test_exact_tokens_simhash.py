@@ -10,7 +10,7 @@ import xxhash
 from meterline.llm.components import smallest_reachable
 from meterline.llm.exact import exact_dedup
 from meterline.llm.piece_codec import encode_digests, encode_documents
-from meterline.llm.pieces import PieceVocabulary, chunks, vocabulary
+from meterline.llm.pieces import chunks, vocabulary
 from meterline.llm.simhash import brute_force_links, linked_block, linked_pairs, near_links, simhash_classes
 from meterline.llm.token_counts import count_tokens
 
@@ -73,18 +73,17 @@ def test_codec_equals_library(awkward):
         assert full.ids == SP.encode(texts[full.doc_id]) and full.decoded == SP.decode(full.ids)
 
 
-def test_merge_rounds_equal_heap_and_library():
+def test_merge_rounds_equal_the_library():
+    """Short and long chunks, with symbols whose ranks may merge together and others that may not."""
     rng = np.random.default_rng(3)
     v = vocabulary(MODEL)
-    alphabet = list("aethino. \n▁é日😀019ßX")
-    for _ in range(400):
-        text = "".join(rng.choice(alphabet, rng.integers(0, 50)))
-        cs = chunks(text)
-        assert [i for c in v.encode_chunks(cs) for i in c] == SP.encode(text)
-        for c in cs:
-            assert v.ids(v.merge_heap(c)) == v.encode_chunks([c])[0]
-    assert PieceVocabulary.LONG < 1000
-    for text in ("ab" * 2000, "a" * 3000, "日本" * 999):
+    assert 0 < (~v.together).sum() < len(v.together)
+    for alphabet in ("aethino. \n▁é日😀019ßX", "aaab", "theinrsa", "=-_ #"):
+        for _ in range(300):
+            text = "".join(rng.choice(list(alphabet), rng.integers(0, 200)))
+            assert [i for c in v.encode_chunks(chunks(text)) for i in c] == SP.encode(text)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 3000))
+    for text in ("ab" * 20000, "a" * 30001, "日本" * 9999, "=" * 5000, letters):
         assert [i for c in v.encode_chunks(chunks(text)) for i in c] == SP.encode(text)
 
 
@@ -111,13 +110,26 @@ def reach(ids, links):
     return {i: find(i) for i in ids}
 
 
+def brute_components(docs):
+    """(doc_id, fingerprint, smallest doc_id reachable) of every row, from all pairs of rows; null if no id is reached."""
+    values = [simple_fingerprint(t) for _, t in docs]
+    of = reach(range(len(docs)), brute_force_links(values))
+    ids = {}
+    for k, (i, _) in enumerate(docs):
+        ids.setdefault(of[k], []).append(i)
+    least = {c: min((i for i in found if i is not None), default=None) for c, found in ids.items()}
+    return sorted(((i, f"{v:016x}", least[of[k]]) for k, ((i, _), v) in enumerate(zip(docs, values, strict=True))), key=key)
+
+
 def test_simhash_equals_brute_force(awkward):
-    docs = [r for r in awkward.collect() if r.doc_id is not None]
-    values = [simple_fingerprint(r.text) for r in docs]
-    comp = reach({r.doc_id for r in docs}, [(docs[i].doc_id, docs[j].doc_id) for i, j in brute_force_links(values)])
-    want = sorted((r.doc_id, f"{v:016x}", comp[r.doc_id]) for r, v in zip(docs, values, strict=True))
-    got = [r for r in rows(simhash_classes(awkward)) if r[0] is not None]
-    assert got == want
+    assert rows(simhash_classes(awkward)) == brute_components([(r.doc_id, r.text) for r in awkward.collect()])
+
+
+def test_simhash_null_and_repeated_ids_join_nothing(spark):
+    one, two, three = ("alpha beta gamma delta epsilon " * 9).strip(), ("red green blue white black grey " * 9).strip(), ("up down left right in out over " * 9).strip()
+    docs = [(1, one), (2, two), (None, one), (None, two), (None, three), (7, two), (7, three), (9, three)]
+    got = rows(simhash_classes(spark.createDataFrame(docs, "doc_id long, text string")))
+    assert got == brute_components(docs) and {r[2] for r in got} == {1, 2, 7}
 
 
 def clustered(rng, n, radius=4):

@@ -1,5 +1,7 @@
+import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -134,9 +136,39 @@ def test_flow_prefers_first_copies_across_overlaps():
     tokens = pattern_tokens({"ab": 100, "a": 50, "b": 50}, {"ab": ["a", "b"], "a": ["a"], "b": ["b"]}, {"a": 120.0, "b": 80.0}, 2)
     assert tokens == {"ab": 100, "a": 50, "b": 50}
     flow = Flow(4)
-    arcs = [flow.arc(0, 1, 5, 1), flow.arc(0, 2, 5, 2), flow.arc(1, 3, 4, 1), flow.arc(2, 3, 5, 1), flow.arc(1, 2, 5, 0)]
+    arcs = [flow.arc(0, 1, 5), flow.arc(0, 2, 5), flow.arc(1, 3, 4), flow.arc(2, 3, 5), flow.arc(1, 2, 5)]
     flow.run(0, 3)
-    assert sum(flow.room[a + 1] for a in arcs[:2]) == 9 and flow.room[arcs[0] + 1] == 5
+    assert sum(flow.room[a + 1] for a in arcs[:2]) == 9
+
+
+def test_flow_takes_what_a_brute_force_takes_at_least_cost():
+    """Small overlapping sets: no plan fills the quotas further, and none of the same size repeats less."""
+    rng = random.Random(4)
+    for _ in range(30):
+        subsets = [list(c) for n in (1, 2, 3) for c in combinations(("a", "b", None), n)]
+        members = {f"p{k}": c for k, c in enumerate(rng.sample(subsets, 3))}
+        sizes = {p: rng.randrange(1, 4) for p in members}
+        quota = {s: float(rng.randrange(0, 6)) for s in ("a", "b", None)}
+        got = pattern_tokens(sizes, members, quota, 2)
+
+        def fills(take):
+            return max(
+                sum(x for x in split if x)
+                for split in product(*[range(int(quota[s]) + 1) for s in ("a", "b", None)])
+                if all(sum(x for x, s in zip(split, ("a", "b", None), strict=True) if s in part) <= sum(t for p, t in take.items() if part & set(members[p])) for n in (1, 2, 3) for part in map(set, combinations(("a", "b", None), n)))
+            )
+
+        plans = [dict(zip(sizes, t, strict=True)) for t in product(*[range(2 * n + 1) for n in sizes.values()])]
+        best = max(fills(t) for t in plans)
+        extra = lambda t: sum(max(0, t[p] - sizes[p]) for p in sizes)
+        assert sum(got.values()) == best == fills(got)
+        assert extra(got) == min(extra(t) for t in plans if sum(t.values()) == best == fills(t))
+
+
+def test_many_sources_are_solved_in_closed_form():
+    sizes = {f"p{i}": 100 + i for i in range(50_000)}
+    got = pattern_tokens(sizes, {p: [p] for p in sizes}, {p: 250.0 for p in sizes}, 2)
+    assert all(got[p] == min(250, 2 * n) for p, n in sizes.items())
 
 
 def test_mixing_meets_targets_and_reruns_agree(spark, awkward, clashing, no_rows):
