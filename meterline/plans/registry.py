@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import auditing, ingestion, reporting, streaming
+from . import auditing, files, ingestion, reporting, streaming
 
-QUERIES: dict = {**ingestion.QUERIES, **reporting.QUERIES, **auditing.QUERIES, **streaming.QUERIES}
-ORACLES: dict = {**ingestion.ORACLES, **reporting.ORACLES, **auditing.ORACLES, **streaming.ORACLES}
+QUERIES: dict = {**files.QUERIES, **ingestion.QUERIES, **reporting.QUERIES, **auditing.QUERIES, **streaming.QUERIES}
+ORACLES: dict = {**files.ORACLES, **ingestion.ORACLES, **reporting.ORACLES, **auditing.ORACLES, **streaming.ORACLES}

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MAX_LINE_BYTES = 50 * 1024 * 1024
+#: Suffixes of compressed logs.
+PACKED = r"\.(zst|gz)$"
 
 
 def read_log_lines(spark: SparkSession, paths: str | list[str], max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """path, pos, value: every complete line with its byte offset in the (decompressed) file.
 
     A last line without its newline is not read; lines longer than ``max_line_bytes`` are left out but still move the
-    offset. Compressed files (.zst) are read by Spark itself; their names lose the suffix, so that a file and its
-    archived copy are one. Lines keep file order by split and by place in it; the offset is one window per file.
+    offset. Compressed files (.zst, .gz) are read by Spark itself; their names lose the suffix, so that a file and its
+    archived copy are one. Offsets run within one split of a file each, so a large file is many tasks; where a split
+    begins is told by the bytes of the splits before it, summed in a scan of their own.
     """
     raw = spark.read.option("lineSep", "\n").text(paths)
     rows = raw.select(
@@ -22,11 +27,27 @@ def read_log_lines(spark: SparkSession, paths: str | list[str], max_line_bytes:
         F.col("_metadata.file_size").alias("file_size"), F.monotonically_increasing_id().alias("mid"),
     )
     size = F.octet_length("value").cast("long") + 1
-    end = F.sum(size).over(Window.partitionBy("file").orderBy("block", "mid").rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.withColumn("end", end).withColumn("pos", F.col("end") - size)
-    zst = F.col("file").endswith(".zst")
-    complete = zst | (F.col("end") <= F.col("file_size"))
-    return placed.filter(complete & (size - 1 <= max_line_bytes)).select(F.regexp_replace("file", r"\.zst$", "").alias("path"), "pos", "value")
+    of_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("file", "block").agg(F.sum(size).alias("bytes"))
+    starts = splits.select("file", "block", F.coalesce(F.sum("bytes").over(of_file), F.lit(0)).alias("split_start"))
+    in_split = Window.partitionBy("file", "block").orderBy("mid").rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumn("here", F.sum(size).over(in_split)).join(starts, ["file", "block"])
+    placed = placed.withColumn("end", F.col("split_start") + F.col("here")).withColumn("pos", F.col("end") - size)
+    packed = F.col("file").rlike(PACKED)  # file_size is that of the packed bytes
+    complete = packed | (F.col("end") <= F.col("file_size"))
+    return placed.filter(complete & (size - 1 <= max_line_bytes)).select(log_name(F.col("file")).alias("path"), "pos", "value")
+
+
+def log_name(path: Column) -> Column:
+    """A log's name: that of its file without the suffix of compression."""
+    return F.regexp_replace(path, PACKED, "")
+
+
+def resume_lines(lines: DataFrame, plan: DataFrame) -> DataFrame:
+    """The lines (path, pos, value) that a plan of plan_files asks for: those at or behind ``start`` of files it does
+    not skip. A file that the plan does not name is left out."""
+    wanted = plan.filter("action <> 'skip'").select("path", "start")
+    return lines.join(wanted, "path").filter("pos >= start").drop("start")
 
 
 def parse_json_lines(lines: DataFrame, schema: str, needles: list[str], keep: str = "path, pos") -> tuple[DataFrame, DataFrame]:
@@ -43,10 +64,20 @@ def parse_json_lines(lines: DataFrame, schema: str, needles: list[str], keep: st
     return good, parsed.filter(F.col("v").isNull()).select(*names, "value")
 
 
-def list_files(spark: SparkSession, paths: str | list[str], head_bytes: int = 256) -> DataFrame:
-    """path, size, mtime and the signature of the first bytes of every file."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), F.hex(F.substring("content", 1, head_bytes)).alias("head"))
+def list_files(spark: SparkSession, paths: str | list[str], since: datetime | None = None, head_bytes: int = 256) -> DataFrame:
+    """path, inode, size, mtime and head of every file, as plan_files takes them.
+
+    Sizes and times come from the listing alone. Only files changed at or after ``since`` are opened for the signature
+    of their first bytes (all of them where it is None; one over 2 GB is an error of the reader); the head of the
+    others is null, which plan_files takes for unchanged. Stores have no inodes, so ``inode`` is 0: a file that was
+    replaced shows by its size or its head.
+    """
+    listed = spark.read.format("binaryFile").load(paths)
+    named = log_name(F.col("_metadata.file_path")).alias("path")
+    files = listed.select(named, F.lit(0).cast("long").alias("inode"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
+    changed = listed if since is None else listed.filter(F.col("modificationTime") >= F.lit(since))
+    heads = changed.select(named, F.hex(F.substring("content", 1, head_bytes)).alias("head"))
+    return files.join(heads, "path", "left")
 
 
 def plan_files(manifest: DataFrame, previous: DataFrame) -> DataFrame:
@@ -58,6 +89,7 @@ def plan_files(manifest: DataFrame, previous: DataFrame) -> DataFrame:
     old = previous.select("path", F.col("inode").alias("old_inode"), F.col("offset").alias("old_offset"), F.col("head").alias("old_head"))
     seen = manifest.join(old, "path", "left")
     changed_head = (F.coalesce("old_head", F.lit("")) != "") & (F.col("old_head") != F.col("head"))
+    changed_head = F.coalesce(changed_head, F.lit(False))  # a file that was not opened again has no head
     reread = F.col("old_offset").isNull() | (F.col("inode") != F.col("old_inode")) | (F.col("size") < F.col("old_offset")) | changed_head
     action = F.when(reread, "reread").when(F.col("size") == F.col("old_offset"), "skip").otherwise("resume")
     return seen.select("path", action.alias("action"), F.when(reread, F.lit(0)).otherwise(F.col("old_offset")).cast("long").alias("start"))
@@ -70,7 +102,7 @@ def read_usage_csv(spark: SparkSession, path: str) -> DataFrame:
     """The dashboard's usage export: pos and the columns found by header name, as text.
 
     A missing required column is an error; a byte-order mark is dropped; a row too short for the required columns is
-    left out, while an empty cell stays as the empty text.
+    left out, while an empty cell stays as the empty text. The path may be a folder of exports with one header.
     """
     lines = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
     head = lines.orderBy("pos").limit(1).collect()
@@ -84,7 +116,7 @@ def read_usage_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"unrecognized usage CSV header: missing {missing}")
     # One more mark at the end of each line: the fields of a short row end before the last required column.
     schema = ", ".join(f"c{i} string" for i in range(len(columns)))
-    parsed = lines.filter(F.col("pos") != head[0]["pos"]).filter(F.trim("value") != "").select(
+    parsed = lines.filter(F.col("value") != head[0]["value"]).filter(F.trim("value") != "").select(
         "pos", F.from_csv("value", F.lit(schema), {"escape": '"', "nullValue": "\u0001", "emptyValue": ""}).alias("c")
     )
     last = max(columns.index(c) for c in [*CSV_REQUIRED, *[c for c in ("Input (w/ Cache Write)",) if c in columns]])

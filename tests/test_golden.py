@@ -130,6 +130,39 @@ def test_file_listing(spark, tmp_path):
     assert (r.size, r["head"]) == (5, "68656C6C6F")
 
 
+def test_unchanged_files_are_not_opened_and_changed_ones_resume(spark, tmp_path):
+    import os
+    from datetime import datetime
+
+    for name, data in [("same", "a\n"), ("grown", "a\nbb\n"), ("new", "c\n"), ("torn", "x\n")]:
+        (tmp_path / f"{name}.jsonl").write_text(data)
+    os.utime(tmp_path / "same.jsonl", (1_600_000_000, 1_600_000_000))
+    now = readers.list_files(spark, str(tmp_path), since=datetime(2023, 1, 1))
+    heads = {r.path.rsplit("/", 1)[1]: r["head"] for r in now.collect()}
+    assert heads == {"same.jsonl": None, "grown.jsonl": "610A62620A", "new.jsonl": "630A", "torn.jsonl": "780A"}
+    last = now.filter("path NOT LIKE '%new%'").selectExpr(
+        "path", "inode", "IF(path LIKE '%torn%', 9L, 2L) AS offset", "IF(path LIKE '%same%', '610A', NULL) AS head")
+    plan = readers.plan_files(now, last)
+    got = readers.resume_lines(readers.read_log_lines(spark, str(tmp_path)), plan).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.pos, r.value) for r in got) == [("grown.jsonl", 2, "bb"), ("new.jsonl", 0, "c"), ("torn.jsonl", 0, "x")]
+
+
+def test_offsets_run_on_over_splits(spark, tmp_path):
+    rows = [f"{i} " + "é" * (i % 7) for i in range(3000)]
+    (tmp_path / "s.jsonl").write_bytes("".join(r + "\n" for r in rows).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = readers.read_log_lines(spark, str(tmp_path / "s.jsonl")).orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    at, want = 0, []
+    for r in rows:
+        want.append((at, r))
+        at += len(r.encode()) + 1
+    assert [(r.pos, r.value) for r in got] == want
+
+
 HEADER = "Date,Cloud Agent ID,Model,Input (w/ Cache Write),Input (w/o Cache Write),Cache Read,Output Tokens"
 
 
