@@ -25,9 +25,11 @@ def local_session(cores: str = "8", app: str = "meterline") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where it is unset in a local run."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = getattr(spark.sparkContext, "_meterline_shared", None) or "file://" + tempfile.mkdtemp(prefix="meterline-")
         spark.sparkContext._meterline_shared = folder
     return folder.rstrip("/")

@@ -55,9 +55,7 @@ DUCKDB_USAGE = _USAGE.format(K="CAST(json_extract_string(props, '$.k') AS BIGINT
 def usage_events(spark: SparkSession, sf_dir: str, keep_numbers: bool = False) -> DataFrame:
     """The ledger as the reports read it; ``keep_numbers`` leaves e, u, k and et in, for building raw inputs."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    view = f"events_{abs(hash(sf_dir)) % 10**9}"
-    events.createOrReplaceTempView(view)
-    df = spark.sql(SPARK_USAGE.replace("FROM events", f"FROM {view}") + "SELECT * FROM usage_events")
+    df = spark.sql(SPARK_USAGE.replace("FROM events", "FROM {events}") + "SELECT * FROM usage_events", events=events)
     return df if keep_numbers else df.drop("e", "u", "k", "et")
 
 
