@@ -258,7 +258,8 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = nodes.join(label.select(F.col("component").alias("fp")).distinct(), "fp", "left_semi").select(F.col("fp").alias("component"), "least")
     named = linked.select("component", "least").unionByName(roots).groupBy("component").agg(F.min("least").alias("component_id"))
     class_of = label.unionByName(label.select(F.col("component").alias("fp"), "component").distinct())
-    reached = nodes.join(class_of, "fp", "left").join(named, "component", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    ids = class_of.join(named, "component").select("fp", "component_id")  # linked nodes only: others would meet at one null key
+    reached = nodes.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return marked.join(reached, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
