@@ -53,14 +53,15 @@ def resume_lines(lines: DataFrame, plan: DataFrame) -> DataFrame:
 def parse_json_lines(lines: DataFrame, schema: str, needles: list[str], keep: str = "path, pos") -> tuple[DataFrame, DataFrame]:
     """(good, rejects): lines that hold one of ``needles``, parsed into column ``j``, and those of them that aren't JSON.
 
-    A broken line costs only itself; lines without a needle are in neither table.
+    A broken line costs only itself; lines without a needle are in neither table. ``j`` comes out of a generator, so
+    that filters on its fields stay above it: pushed below, each would parse the line once for every field it names.
     """
     wanted = F.lit(False)
     for n in needles:
         wanted = wanted | F.col("value").contains(n)
     names = [c.strip() for c in keep.split(",")]
     parsed = lines.filter(wanted).select(*names, "value", F.try_parse_json("value").alias("v"))
-    good = parsed.filter(F.col("v").isNotNull()).select(*names, F.from_json("value", schema).alias("j"))
+    good = parsed.filter(F.col("v").isNotNull()).select(*names, F.explode(F.array(F.from_json("value", schema))).alias("j"))
     return good, parsed.filter(F.col("v").isNull()).select(*names, "value")
 
 
