@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,7 @@ def per_text(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], pd
         work = make()
         for batch in batches:
             yield pd.concat([work(part) for part in slices(batch)] or [work([])], ignore_index=True)
+        pa.default_memory_pool().release_unused()  # the worker lives on after the task
 
     found = F.pandas_udf(run, schema)(F.col(text_col).cast("string"))
     return docs.select(F.col(id_col).alias("doc_id"), found.alias("_found")).select("doc_id", "_found.*")

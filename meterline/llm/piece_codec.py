@@ -19,20 +19,37 @@ class ChunkEncoder:
 
     def __init__(self, model_path: str, cache_chunks: int = CACHE_CHUNKS):
         self.vocabulary, self.limit = vocabulary(model_path), cache_chunks
-        self.known: dict[str, tuple[int, str, str]] = {}
+        #: Ids of each chunk as text, and the decoded text of those that don't decode to themselves: most do, so a
+        #: remembered chunk costs two short strings.
+        self.ids: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
         self.chars = 0
 
-    def learn(self, lists: list[list[str]]) -> dict[str, tuple[int, str, str]]:
-        """For all chunks of the lists: number of ids, ids as text, decoded text."""
+    def learn(self, lists: list[list[str]]) -> None:
+        """Remembers all chunks of the lists."""
         wanted = set().union(*lists) if lists else set()
-        if len(self.known) + len(wanted) > self.limit or self.chars > CACHE_CHARS:
-            self.known, self.chars = {}, 0
-        new = [c for c in wanted if c not in self.known]
+        if len(self.ids) + len(wanted) > self.limit or self.chars > CACHE_CHARS:
+            self.ids, self.odd, self.chars = {}, {}, 0
+        new = [c for c in wanted if c not in self.ids]
         self.chars += sum(map(len, new))
+        mark = self.vocabulary.symbol[SPACE]
         for c, ids in zip(new, self.vocabulary.encode_chunks(new), strict=True):
+            self.ids[c] = ",".join(map(str, ids))
             # A mark in front keeps decode() from taking off the chunk's own space.
-            self.known[c] = (len(ids), ",".join(map(str, ids)), self.vocabulary.decode([self.vocabulary.symbol[SPACE], *ids]))
-        return self.known
+            decoded = self.vocabulary.decode([mark, *ids])
+            if decoded != c.replace(SPACE, " "):
+                self.odd[c] = decoded
+
+    def joined_ids(self, cs: list[str]) -> str:
+        """Ids of a text's remembered chunks, joined by commas."""
+        known = self.ids
+        return ",".join([known[c] for c in cs])
+
+    def decoded(self, cs: list[str]) -> str:
+        """Decoded text of a text's remembered chunks, without the library's space in front."""
+        if not self.odd.keys().isdisjoint(cs):
+            return "".join([self.odd[c] if c in self.odd else c.replace(SPACE, " ") for c in cs])[1:]
+        return "".join(cs).replace(SPACE, " ")[1:]
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -49,10 +66,10 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
         def work(texts: list[str | None]) -> pd.DataFrame:
             lists = [chunks(t) for t in texts]
-            known = encoder.learn(lists)
+            encoder.learn(lists)
             return pd.DataFrame({
-                "ids": [[int(i) for c in cs for i in known[c][1].split(",")] for cs in lists],
-                "decoded": ["".join([known[c][2] for c in cs])[1:] for cs in lists],
+                "ids": [[int(i) for c in cs for i in encoder.ids[c].split(",")] for cs in lists],
+                "decoded": [encoder.decoded(cs) for cs in lists],
             })
 
         return work
@@ -69,12 +86,12 @@ def encode_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
         def work(texts: list[str | None]) -> pd.DataFrame:
             counts, ids, decoded = [], [], []
             lists = [chunks(t) for t in texts]
-            known = encoder.learn(lists)
+            encoder.learn(lists)
             for cs in lists:
-                rows = [known[c] for c in cs]
-                counts.append(sum([r[0] for r in rows]))
-                ids.append(hashlib.sha256(",".join([r[1] for r in rows]).encode()).hexdigest())
-                decoded.append(hashlib.sha256("".join([r[2] for r in rows])[1:].encode("utf-8", "surrogatepass")).hexdigest())
+                joined = encoder.joined_ids(cs)
+                counts.append(joined.count(",") + 1 if joined else 0)
+                ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                decoded.append(hashlib.sha256(encoder.decoded(cs).encode("utf-8", "surrogatepass")).hexdigest())
             return pd.DataFrame({"n_tokens": counts, "ids_sha256": ids, "decoded_sha256": decoded})
 
         return work
