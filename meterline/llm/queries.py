@@ -10,6 +10,7 @@ from .common import table
 from .exact import EXACT_SQL, exact_dedup
 from .html_text import extract_pages
 from .line_dedup import line_dedup_digest
+from .merkle import MERKLE_SQL, merkle_manifest
 from .mixing import mix_sources
 from .personal_data import personal_data_digest
 from .piece_codec import encode_digests
@@ -65,6 +66,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"), with_proofs=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
@@ -76,5 +81,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_piece_codec": op9_piece_codec,
     "op10_html_text": op10_html_text,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLES: dict[str, str] = {"op7_exact_dedup": EXACT_SQL}
+ORACLES: dict[str, str] = {"op7_exact_dedup": EXACT_SQL, "op12_merkle_manifest": MERKLE_SQL}
