@@ -17,7 +17,9 @@ from .piece_codec import encode_digests
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .simhash import simhash_classes
+from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
+from .whitening import whiten
 
 
 def piece_model() -> str:
@@ -66,10 +68,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"), with_proofs=False)
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_kept=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
@@ -81,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_piece_codec": op9_piece_codec,
     "op10_html_text": op10_html_text,
+    "op11_whitening": op11_whitening,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 ORACLES: dict[str, str] = {"op7_exact_dedup": EXACT_SQL, "op12_merkle_manifest": MERKLE_SQL}
