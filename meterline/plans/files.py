@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators.rates import effective_rates, load_rates
 from ..session import shared_folder
 from ..sources import message_tables, readers
+from ..sources.log_source import read_planned_lines
 from ..sources.sinks import read_ledger, write_ledger
 from ..sources.tables import read_tables, usage_events
 from . import raw_inputs as raw
@@ -51,14 +52,14 @@ def a2_compressed(spark, sf_dir):
 
 
 def a5_resume(spark, sf_dir):
-    """Lines that a second run reads: a third of the logs had been read whole, a third up to a line, a third not at all."""
+    """Lines that a second run reads: a third of the logs had been read whole, a third up to a line, a third not at all.
+    Only the files to read are opened, from where they are resumed."""
     path = log_files(spark, sf_dir)
     now = with_log(readers.list_files(spark, path))
-    lines = readers.read_log_lines(spark, path)
-    half = with_log(lines).filter("log % 3 = 1").groupBy("path").agg(F.percentile("pos", 0.5).cast("long").alias("offset"))
+    half = with_log(readers.read_log_lines(spark, path)).filter("log % 3 = 1").groupBy("path").agg(F.percentile("pos", 0.5).cast("long").alias("offset"))
     last = now.filter("log % 3 < 2").join(half, "path", "left").withColumn("offset", F.coalesce("offset", "size"))
-    plan = readers.plan_files(now, last.select("path", "inode", "offset", "head"))
-    return with_log(readers.resume_lines(lines, plan)).groupBy("log").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    plan = readers.plan_files(now.drop("log"), last.select("path", "inode", "offset", "head"))
+    return with_log(read_planned_lines(spark, plan)).groupBy("log").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
 def a6_csv(spark, sf_dir):

@@ -3,24 +3,33 @@
 from __future__ import annotations
 
 from datetime import datetime
+from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MAX_LINE_BYTES = 50 * 1024 * 1024
-#: Suffixes of compressed logs.
-PACKED = r"\.(zst|gz)$"
+from .log_source import MAX_LINE_BYTES, OPENED, PACKED, file_heads, log_name, read_planned_lines
 
 
-def read_log_lines(spark: SparkSession, paths: str | list[str], max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
-    """path, pos, value: every complete line with its byte offset in the (decompressed) file.
+def read_log_lines(spark: SparkSession, paths: str | list[str], max_line_bytes: int = MAX_LINE_BYTES, split_bytes: int = 128 << 20) -> DataFrame:
+    """path, pos, value: every complete line with its byte offset in the (unpacked) file.
 
     A last line without its newline is not read; lines longer than ``max_line_bytes`` are left out but still move the
-    offset. Compressed files (.zst, .gz) are read by Spark itself; their names lose the suffix, so that a file and its
-    archived copy are one. Offsets run within one split of a file each, so a large file is many tasks; where a split
-    begins is told by the bytes of the splits before it, summed in a scan of their own.
+    offset. The names of packed logs (.zst, .gz) lose the suffix, so that a file and its archived copy are one. Stores
+    that Python can't open are read by Spark's text reader.
     """
+    named = [paths] if isinstance(paths, str) else paths
+    if any(urlsplit(p).scheme not in OPENED for p in named):
+        return scan_log_lines(spark, paths, max_line_bytes)
+    plan = _listed(spark, paths).select("file", "path", F.lit("reread").alias("action"), F.lit(0).cast("long").alias("start"), "size")
+    return read_planned_lines(spark, plan, max_line_bytes, split_bytes)
+
+
+def scan_log_lines(spark: SparkSession, paths: str | list[str], max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+    """The same by Spark's text reader alone, for stores that only Spark opens. Offsets run within one split of a file
+    each, so a large file is many tasks; where a split begins is told by the bytes of the splits before it, summed in a
+    scan of their own."""
     raw = spark.read.option("lineSep", "\n").text(paths)
     rows = raw.select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
@@ -38,14 +47,10 @@ def read_log_lines(spark: SparkSession, paths: str | list[str], max_line_bytes:
     return placed.filter(complete & (size - 1 <= max_line_bytes)).select(log_name(F.col("file")).alias("path"), "pos", "value")
 
 
-def log_name(path: Column) -> Column:
-    """A log's name: that of its file without the suffix of compression."""
-    return F.regexp_replace(path, PACKED, "")
-
-
 def resume_lines(lines: DataFrame, plan: DataFrame) -> DataFrame:
-    """The lines (path, pos, value) that a plan of plan_files asks for: those at or behind ``start`` of files it does
-    not skip. A file that the plan does not name is left out."""
+    """The lines (path, pos, value) that a plan of plan_files asks for, of lines that were read anyway (else see
+    log_source.read_planned_lines, which reads no others): those at or behind ``start`` of files it does not skip. A
+    file that the plan does not name is left out."""
     wanted = plan.filter("action <> 'skip'").select("path", "start")
     return lines.join(wanted, "path").filter("pos >= start").drop("start")
 
@@ -65,35 +70,45 @@ def parse_json_lines(lines: DataFrame, schema: str, needles: list[str], keep: st
     return good, parsed.filter(F.col("v").isNull()).select(*names, "value")
 
 
+def _listed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, path, size and changed (a timestamp) of every file, from the listing alone."""
+    file = F.col("_metadata.file_path")
+    return spark.read.format("binaryFile").load(paths).select(file.alias("file"), log_name(file).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("changed"))
+
+
 def list_files(spark: SparkSession, paths: str | list[str], since: datetime | None = None, head_bytes: int = 256) -> DataFrame:
-    """path, inode, size, mtime and head of every file, as plan_files takes them.
+    """file, path, inode, size, mtime and head of every file, as plan_files takes them.
 
-    Sizes and times come from the listing alone. Only files changed at or after ``since`` are opened for the signature
-    of their first bytes (all of them where it is None; one over 2 GB is an error of the reader); the head of the
-    others is null, which plan_files takes for unchanged. Stores have no inodes, so ``inode`` is 0: a file that was
-    replaced shows by its size or its head.
+    Sizes and times come from the listing alone. Only files changed at or after ``since`` are opened, for the signature
+    of their first bytes and no more (all of them where it is None); the head of the others is null, which plan_files
+    takes for unchanged. Stores have no inodes, so ``inode`` is 0: a file that was replaced shows by its size or its head.
     """
-    listed = spark.read.format("binaryFile").load(paths)
-    named = log_name(F.col("_metadata.file_path")).alias("path")
-    files = listed.select(named, F.lit(0).cast("long").alias("inode"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"))
-    changed = listed if since is None else listed.filter(F.col("modificationTime") >= F.lit(since))
-    heads = changed.select(named, F.hex(F.substring("content", 1, head_bytes)).alias("head"))
-    return files.join(heads, "path", "left")
+    files = _listed(spark, paths)
+    changed = files if since is None else files.filter(F.col("changed") >= F.lit(since))
+    named = files.select("file", "path", F.lit(0).cast("long").alias("inode"), "size", F.unix_seconds("changed").alias("mtime"))
+    return named.join(file_heads(changed, head_bytes), "file", "left")
 
 
 def plan_files(manifest: DataFrame, previous: DataFrame) -> DataFrame:
-    """path, action, start: what to do with each listed file, given the last run's (path, inode, offset, mtime, head).
+    """path, action, start: what to do with each listed file, given the last run's (path, inode, offset, mtime, head);
+    the listing's other columns are kept, as read_planned_lines and next_manifest take them.
 
     New, rebuilt (another inode), truncated or rewritten at its head: reread from 0. Of the same size: skip. Grown:
-    resume at the last offset.
+    resume at the last offset; a packed file, whose offset is its packed size, is read again as a whole. A log and its
+    archived copy have one name: listed both, each is held against the offset of that name.
     """
     old = previous.select("path", F.col("inode").alias("old_inode"), F.col("offset").alias("old_offset"), F.col("head").alias("old_head"))
     seen = manifest.join(old, "path", "left")
     changed_head = (F.coalesce("old_head", F.lit("")) != "") & (F.col("old_head") != F.col("head"))
     changed_head = F.coalesce(changed_head, F.lit(False))  # a file that was not opened again has no head
     reread = F.col("old_offset").isNull() | (F.col("inode") != F.col("old_inode")) | (F.col("size") < F.col("old_offset")) | changed_head
+    if "file" in manifest.columns:
+        reread = reread | F.col("file").rlike(PACKED) & (F.col("size") != F.col("old_offset"))
     action = F.when(reread, "reread").when(F.col("size") == F.col("old_offset"), "skip").otherwise("resume")
-    return seen.select("path", action.alias("action"), F.when(reread, F.lit(0)).otherwise(F.col("old_offset")).cast("long").alias("start"))
+    planned = seen.withColumn("action", action).withColumn("start", F.when(reread, F.lit(0)).otherwise(F.col("old_offset")).cast("long"))
+    kept_head = F.when(F.col("action") != "reread", F.coalesce("head", "old_head")).otherwise(F.col("head"))
+    others = [kept_head.alias(c) if c == "head" else F.col(c) for c in manifest.columns if c != "path"] if "file" in manifest.columns else []
+    return planned.select("path", "action", "start", *others)
 
 
 CSV_REQUIRED = ["Date", "Model", "Input (w/o Cache Write)", "Cache Read", "Output Tokens"]
