@@ -37,28 +37,35 @@ def sorted_suffixes(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, d
     key = words_at(text, n, ">u8")
     cut = left < WORD
     key[cut] |= (np.uint64(1) << ((WORD - left[cut]) * 8).astype(np.uint64)) - np.uint64(1)  # what lies behind it is not seen
-    classes, reach, at = None, WORD, WORD
+    order = np.argsort(key)
+    order[n - len(starts) :] = stops  # separators are the largest; they differ by their pieces
+    ordered = key[order]
+    fresh = np.ones(n, dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    fresh[n - len(starts) :] = True
     piece = np.repeat(np.arange(len(starts)), lengths + 1)
-    while True:
-        order = np.argsort(key, kind="stable") if at == WORD else np.argsort(key)
-        ordered = key[order]
-        fresh = np.empty(n, dtype=bool)
-        fresh[0] = True
-        np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
-        if at == WORD:  # separators differ by their pieces; they stand last
-            fresh[n - len(starts) :] = True
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(fresh) - 1
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))  # the first row of a suffix's class
+    at, classes, reach = WORD, rank, WORD
+    slots = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))  # rows whose suffixes others still equal
+    while len(slots):
+        open_ = order[slots]
+        ahead = open_ + at
+        within = ahead <= stop[open_]
+        follow = np.where(within, rank[np.where(within, ahead, 0)], n - len(starts) + piece[open_])
+        key = (rank[open_].astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
+        turn = np.argsort(key)
+        key = key[turn]
+        fresh = np.ones(len(slots), dtype=bool)
+        np.not_equal(key[1:], key[:-1], out=fresh[1:])
+        order[slots] = open_[turn]
+        rank = rank.copy() if rank is classes else rank
+        rank[order[slots]] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
+        at *= 2
         if at <= depth:
             classes, reach = rank, at
-        if rank[order[-1]] == n - 1:
-            return order, classes, reach
-        ahead = np.arange(n) + at
-        within = ahead <= stop
-        last = int(rank[stops[0]])  # rank of the first separator; they are consecutive
-        follow = np.where(within, rank[np.where(within, ahead, 0)], last + piece)
-        key = (rank.astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
-        at *= 2
+        slots = slots[~(fresh & np.append(fresh[1:], True))]
+    return order, classes, reach
 
 
 class RunIndex:
@@ -95,6 +102,8 @@ class RunIndex:
         self.last_row = np.append(self.rows[1:], n) - 1
         self.first = least[(np.cumsum(begins) - 1)[self.rows]]
         sizes = np.diff(np.append(self.rows, n))
+        self.run_of = np.repeat(np.arange(len(self.rows), dtype=np.int32), sizes)  # a directory, to find runs without a search
+        self.ends_at = np.arange(n - len(ends), n)  # rows of the separators
         by_char = np.argsort(self.chars, kind="stable")
         self.lf = np.empty(len(self.rows), dtype=np.int64)  # row of the suffix one byte longer, for a run's first row
         self.lf[by_char] = np.cumsum(sizes[by_char]) - sizes[by_char]
@@ -114,22 +123,23 @@ class RunIndex:
             open_ = open_[(differ == 0) & (found[open_] < most[open_])]
         return found
 
-    def stream(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def stream(self, text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(matched, place, first) for every byte of the patterns: the length of the longest prefix of the pattern's rest
         that occurs in the index, one place of it, and the least owner of its first ``length`` bytes.
 
         All patterns are read backwards side by side. A row of the transform follows each; where its run has another
         byte, the nearer ends of the runs of the right byte above and below are compared with the match so far, and
-        the longer continuation is taken.
+        the longer continuation is taken. ``rows`` are rows to begin with: those of the separators behind them for
+        patterns that are pieces of the index.
         """
         matched, place = np.zeros(len(text), dtype=np.int64), np.zeros(len(text), dtype=np.int64)
         first = np.full(len(text), NOBODY, dtype=np.int64)
         order = np.argsort(-lengths, kind="stable")
         ends, lengths = (starts + lengths)[order], lengths[order]
-        row = np.zeros(len(ends), dtype=np.int64)
-        at = np.full(len(ends), self.head[0], dtype=np.int64)
+        row = np.zeros(len(ends), dtype=np.int64) if rows is None else rows[order]
+        at = np.full(len(ends), self.head[0], dtype=np.int64) if rows is None else ends.copy()
         have = np.zeros(len(ends), dtype=np.int64)
-        run = np.zeros(len(ends), dtype=np.int64)
+        run = self.run_of[row]
         for step in range(int(lengths[0]) if len(lengths) else 0):
             n = int(np.searchsorted(-lengths, -step, side="left"))  # patterns longer than this
             row, at, have, run, ends = row[:n], at[:n], have[:n], run[:n], ends[:n]
@@ -137,9 +147,10 @@ class RunIndex:
             off = np.flatnonzero(self.chars[run] != char)
             if len(off):
                 self._jump(off, char[off], row, at, have, run)
-            row = np.where(have >= 0, self.lf[run] + row - self.rows[run], 0)
-            at, have = np.where(have >= 0, at - 1, self.head[0]), have + 1
-            run = np.searchsorted(self.rows, row, side="right") - 1
+            row = self.lf[run] + row - self.rows[run]
+            if len(off):
+                row, at = np.where(have >= 0, row, 0), np.where(have >= 0, at, self.head[0] + 1)
+            at, have, run = at - 1, have + 1, self.run_of[row]
             here = ends - 1 - step
             matched[here], place[here] = have, at
             long = have >= self.length

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,12 @@ BLOCK = 1 << 18
 
 
 def release(spark: SparkSession) -> None:
-    """Shuffle files of finished jobs go once the driver has dropped their plans; without this it may take half an hour."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Shuffle files of finished jobs go once the driver has dropped their plans; left to itself that may take half an
+    hour. The first round frees what refers to a plan, the second the plan."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def anchor_runs(flat: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,9 +55,9 @@ def anchor_runs(flat: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nda
             if n <= 0:
                 continue
             least = _least_hashes(padded[low : high + 8], high - low, length)
-            places = np.arange(low, low + n)
-            owner = np.searchsorted(ends, places, side="right")
-            valid = places + length <= ends[owner]
+            inside = np.minimum(np.maximum(ends[first:last], low), low + n) - low
+            owner = np.repeat(np.arange(first, last), np.diff(inside, prepend=0))  # the text of each place
+            valid = np.arange(low + length, low + length + n) <= ends[owner]
             change = np.ones(n, dtype=bool)
             change[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | (valid[1:] != valid[:-1])
             at = np.flatnonzero(change)
@@ -89,6 +93,16 @@ def _least_hashes(block: np.ndarray, size: int, length: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - span)], h[width - span :]) if span < width else h
 
 
+def text_slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, ends) of runs of a binary column's texts with about ``limit`` bytes, at least one text each."""
+    flat, ends = flat_texts(column)
+    starts, first = np.append(0, ends[:-1]), 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + limit, side="right")))
+        yield first, flat[starts[first] : ends[last - 1]], ends[first:last] - starts[first]
+        first = last
+
+
 def flat_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, ends) of a binary column without nulls."""
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -110,12 +124,14 @@ def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, _, _, anchor = anchor_runs(*flat_texts(batch.column(0)), length)
-            order = np.lexsort((text, anchor))
-            text, anchor = text[order], anchor[order]
-            fresh = np.ones(len(text), dtype=bool)
-            fresh[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[fresh])], names=["anchor"])
+            for _, flat, ends in text_slices(batch.column(0)):
+                text, _, _, anchor = anchor_runs(flat, ends, length)
+                order = np.lexsort((text, anchor))
+                text, anchor = text[order], anchor[order]
+                fresh = np.ones(len(text), dtype=bool)
+                fresh[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[fresh])], names=["anchor"])
+        pa.default_memory_pool().release_unused()
 
     seen = texts.select("bytes").mapInArrow(anchors, "anchor long")
     return materialize(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("anchor"))
@@ -137,21 +153,17 @@ def repeated_pieces(texts: DataFrame, length: int, bitmap: object) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bitmap.value
         for batch in batches:
-            flat, ends = flat_texts(batch.column(2))
-            text, begin, count, anchor = anchor_runs(flat, ends, length)
-            slot = anchor & (64 * len(known) - 1)
-            hit = (known[slot >> 6] >> (slot & 63)) & 1 == 1
-            text, begin, count, anchor = text[hit], begin[hit], count[hit], anchor[hit]
-            start = np.append(0, ends[:-1])[text] if len(text) else begin
-            for low in range(0, len(text), 100_000):
-                part = slice(low, low + 100_000)
+            for row, flat, ends in text_slices(batch.column(2)):
+                text, begin, count, anchor = anchor_runs(flat, ends, length)
+                slot = anchor & (64 * len(known) - 1)
+                hit = (known[slot >> 6] >> (slot & 63)) & 1 == 1
+                text, begin, count, anchor = text[hit], begin[hit], count[hit], anchor[hit]
+                start, rows = np.append(0, ends[:-1])[text], pa.array(text + row)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(text[part])), batch.column(1).take(pa.array(text[part])), pa.array(begin[part] - start[part]),
-                        pa.array(count[part]), pa.array(anchor[part]), binary_column(flat, begin[part], count[part] + length - 1),
-                    ],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(begin - start), pa.array(count), pa.array(anchor), binary_column(flat, begin, count + length - 1)],
                     names=["doc_id", "text_hash", "begin", "count", "anchor", "piece"],
-                )
+                )
+        pa.default_memory_pool().release_unused()
 
     return texts.select("doc_id", "text_hash", "bytes").mapInArrow(pieces, f"doc_id {id_type}, text_hash long, begin long, count long, anchor long, piece binary")
 
@@ -163,6 +175,7 @@ def first_owners(pieces: DataFrame, length: int) -> DataFrame:
     Buckets of anchors are indexed one by one. A bucket that holds too much, as an anchor with ever new surroundings
     makes it, is settled by one shuffled minimum over its strings instead.
     """
+    pieces = pieces.withColumn("piece_hash", F.xxhash64("piece"))
     weighed = pieces.groupBy().agg(F.sum(F.octet_length("piece") + 1)).first()[0] or 0
     buckets = max(1, -(-weighed // BUCKET_BYTES))
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
@@ -172,20 +185,19 @@ def first_owners(pieces: DataFrame, length: int) -> DataFrame:
     def index(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         anchor, owner, last = (rows[c].to_numpy() for c in ("anchor", "first", "last"))
-        # a piece of one owner whose anchor no other piece has can repeat nothing: the filter let it through by chance
+        # a piece that is alone with its anchor holds the strings' only surroundings: there is nothing to look up
         _, inverse, times = np.unique(anchor, return_inverse=True, return_counts=True)
-        rows = rows.filter(pa.array((times[inverse] > 1) | (owner != last))).combine_chunks()
-        anchor, owner, last = (rows[c].to_numpy() for c in ("anchor", "first", "last"))
+        met = np.flatnonzero(times[inverse] > 1)
         again = np.zeros(len(anchor), dtype=np.int64)
-        if len(anchor):
-            flat, ends = flat_texts(rows["piece"].chunk(0))
-            built = RunIndex(flat, ends, owner, length)
+        if len(met):
+            flat, ends = flat_texts(rows["piece"].take(pa.array(met)).combine_chunks())
+            built = RunIndex(flat, ends, owner[met], length)
             sizes = np.diff(ends, prepend=0)
-            _, _, first = built.stream(built.text, built.starts, sizes)
+            _, _, first = built.stream(built.text, built.starts, sizes, built.ends_at)
             counts = sizes - length + 1
             string = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-            earlier = first[np.repeat(built.starts, counts) + string] < np.repeat(owner, counts)
-            np.bitwise_or.at(again, np.repeat(np.arange(len(counts)), counts)[earlier], np.int64(1) << string[earlier])
+            earlier = first[np.repeat(built.starts, counts) + string] < np.repeat(owner[met], counts)
+            np.bitwise_or.at(again, np.repeat(met, counts)[earlier], np.int64(1) << string[earlier])
         done = {"anchor": anchor, "piece_hash": rows["piece_hash"], "first": owner, "last": last, "again": again}
         return pa.table(done).filter(pa.array((again != 0) | (owner != last)))
 
@@ -251,15 +263,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     anchors = repeated_anchors(owned, length)
     release(spark)
     bitmap = spark.sparkContext.broadcast(anchor_filter(anchors, filter_bits))
-    places = repeated_pieces(owned, length, bitmap).withColumn("piece_hash", F.xxhash64("piece"))
-    distinct = places.groupBy("anchor", "piece_hash", "piece").agg(F.min("doc_id").cast("long").alias("first"), F.max("doc_id").cast("long").alias("last"))
-    pieces = materialize(distinct)
-    del distinct
+    places = repeated_pieces(owned, length, bitmap)
+    owner = F.col("doc_id").cast("long")
+    pieces = materialize(places.groupBy("anchor", "piece").agg(F.min(owner).alias("first"), F.max(owner).alias("last")))
     release(spark)
     owners = materialize(first_owners(pieces, length))
     release(spark)
 
-    met = places.drop("piece").join(owners, ["anchor", "piece_hash"])
+    met = places.withColumn("piece_hash", F.xxhash64("piece")).drop("piece").join(owners, ["anchor", "piece_hash"])
     bits = F.when(F.col("doc_id") > F.col("first"), F.expr("shiftleft(1L, cast(count as int)) - 1")).otherwise(F.col("again"))
     marks = met.withColumn("bits", bits).filter("bits <> 0").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "bits")).alias("marks"))
     none = F.array().cast("array<struct<begin:bigint,bits:bigint>>")
