@@ -38,12 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, *partition_by: str, compression: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage is cut, a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/meterline-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", compression)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._meterline_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of materialize() that no later plan reads."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table._meterline_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def per_text(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], pd.DataFrame]], schema: str, id_col: str, text_col: str) -> DataFrame:

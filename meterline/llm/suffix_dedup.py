@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .run_index import NOBODY, RunIndex
 
 #: Bytes of an anchor: the string of this length with the least hash stands for all strings of ``length`` around it.
@@ -263,11 +263,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     anchors = repeated_anchors(owned, length)
     release(spark)
     bitmap = spark.sparkContext.broadcast(anchor_filter(anchors, filter_bits))
+    discard(anchors)
     places = repeated_pieces(owned, length, bitmap)
     owner = F.col("doc_id").cast("long")
-    pieces = materialize(places.groupBy("anchor", "piece").agg(F.min(owner).alias("first"), F.max(owner).alias("last")))
+    pieces = materialize(places.groupBy("anchor", "piece").agg(F.min(owner).alias("first"), F.max(owner).alias("last")), compression="zstd")
     release(spark)
-    owners = materialize(first_owners(pieces, length))
+    owners = materialize(first_owners(pieces, length), compression="zstd")
+    discard(pieces)
     release(spark)
 
     met = places.withColumn("piece_hash", F.xxhash64("piece")).drop("piece").join(owners, ["anchor", "piece_hash"])
