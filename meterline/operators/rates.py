@@ -26,20 +26,20 @@ BROADCAST_ROWS = 100_000
 
 #: A compact rate table (USD per million tokens), in the order of RATE_SCHEMA.
 DEFAULT_RATES = [
-    ("default", None, None, "2", "8", "0.2", "2.5", None, None),
-    ("atlas-3", None, None, "3", "15", "0.3", "3.75", "6", None),
-    ("atlas-3", None, 200_000, "6", "22.5", "0.6", "7.5", "12", None),
-    ("atlas-3.5", None, None, "4", "16", "0.4", "5", "8", None),
-    ("borea-2", None, None, "1.25", "10", "0.125", None, None, "1.5"),
-    ("borea-2", "2024-01-15", None, "1", "8", None, None, None, None),
-    ("borea-2-mini", None, None, "0.25", "2", "0.003625", None, None, None),
-    ("cirrus-4.1", None, None, "2", "10", "0.5", None, None, None),
-    ("cirrus-4.1", None, 128_000, "4", "20", None, None, None, None),
-    ("cirrus-4.1-fast", None, None, "4", "20", "1", None, None, None),
-    ("cirrus-4.1-fast", None, 100_000, "8", "40", None, None, None, None),
-    ("cirrus-4.1-fast", "2024-01-20", None, "5", None, None, None, None, None),
-    ("cirrus-4.1-fast", "2024-01-20", 272_000, "10", None, None, None, None, None),
-    ("dorado-5", None, None, "5", "25", "0.5", "6.25", "10", None),
+    ("default", None, None, "1.7", "6.3", "0.21", "2.1", None, None),
+    ("atlas-3", None, None, "2.9", "13.5", "0.33", "3.6", "5.4", None),
+    ("atlas-3", None, 180_000, "5.6", "21.5", "0.66", "7.1", "10.9", None),
+    ("atlas-3.5", None, None, "3.7", "14.9", "0.42", "4.6", "7.3", None),
+    ("borea-2", None, None, "1.15", "9.3", "0.117", None, None, "1.45"),
+    ("borea-2", "2024-01-15", None, "0.95", "7.7", None, None, None, None),
+    ("borea-2-mini", None, None, "0.22", "1.9", "0.004321", None, None, None),
+    ("cirrus-4.1", None, None, "1.9", "9.1", "0.47", None, None, None),
+    ("cirrus-4.1", None, 120_000, "3.7", "17.5", None, None, None, None),
+    ("cirrus-4.1-rapid", None, None, "3.8", "18.6", "0.93", None, None, None),
+    ("cirrus-4.1-rapid", None, 90_000, "7.4", "36.8", None, None, None, None),
+    ("cirrus-4.1-rapid", "2024-01-20", None, "4.7", None, None, None, None, None),
+    ("cirrus-4.1-rapid", "2024-01-20", 260_000, "9.2", None, None, None, None, None),
+    ("dorado-5", None, None, "4.6", "22.4", "0.46", "5.8", "9.1", None),
     ("local-llm", None, None, "0", "0", "0", None, None, None),
 ]
 
@@ -74,8 +74,8 @@ class Family:
 
 
 DEFAULT_RULES = [
-    Family("cirrus-4", variant="-fast", fillers=("-build", "-high")),
-    Family("dorado-", closed=True, suffixes=("low", "thinking", "thinking-high")),
+    Family("cirrus-4", variant="-rapid", fillers=("-eu", "-batch")),
+    Family("dorado-", closed=True, suffixes=("eco", "steady", "steady-wide")),
     Family("atlas", heirs=("atlas-3.5", "atlas-3")),
     Family("borea", heirs=("borea-3", "borea-2")),
     Family("cirrus", heirs=("cirrus-4.1",)),

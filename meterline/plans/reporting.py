@@ -10,7 +10,7 @@ from ..functions.measures import validate_records, with_derived
 from ..operators import rates as R
 from ..operators import reports as E
 from ..sources.tables import usage_events
-from .oracle_base import ALL, AS_OF, COST, EV, PERIODS, RATED, SUMS, within
+from .oracle_base import ALL, AS_OF, COST, EV, PERIODS, RATED, RESOLVE, SUMS, within
 
 
 
@@ -43,8 +43,16 @@ def d1_clean_model(spark, sf_dir):
     return usage_events(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("n")).select("model", scalars.clean_model(F.col("model")).alias("clean"), "n")
 
 
+#: What stands behind the ledger's model names, and names of its own, to make the names that are resolved.
+ENDINGS = ["", "-20260101", "-7", "-72", "-123", ".9", "-eco", "-steady-wide", "-rapid", "-eu-rapid", "-eu", "x", "-20260101-beta", "[1m]", " "]
+STEMS = ["dorado-5", "dorado-6", "dorado-5.1", "cirrus-4.1", "cirrus-4.2", "cirrus-5", "borea", "local-llm", "None"]
+
+
 def d2_resolve(spark, sf_dir):
-    return R.resolve_price_key(usage_events(spark, sf_dir), rates(spark)).select("model", "key", "status")
+    """The ledger's names and others, each with every ending: some 300 names that are dated, newer, suffixed or variants."""
+    stems = usage_events(spark, sf_dir).select(F.explode(F.array("model", *[F.lit(x) for x in STEMS])).alias("stem")).distinct()
+    names = stems.select(F.explode(F.array(*[F.concat("stem", F.lit(x)) for x in ENDINGS])).alias("model"))
+    return R.resolve_price_key(names, rates(spark)).select("model", "key", "status")
 
 
 def d3_classify(spark, sf_dir):
@@ -193,7 +201,9 @@ ORACLES = {
         SELECT category, count(*) AS n, CAST(max(len) AS BIGINT) AS longest, CASE WHEN bad THEN 'rejected' ELSE 'valid' END AS outcome FROM f GROUP BY category, bad""",
     "b24_derived": EV + " SELECT dedup_key, day, concat('app', u % 23) AS project_name, output_billed, total_norm, display_source, collector FROM ev",
     "d1_clean_model": EV + """ SELECT model, CASE model WHEN 'us.anthropic.atlas-3[1m]' THEN 'atlas-3' WHEN 'openai.vendor/borea-9' THEN 'borea-9' ELSE model END AS clean, count(*) AS n FROM ev GROUP BY 1, 2""",
-    "d2_resolve_price_key": RATED + " SELECT DISTINCT rated_model AS model, price_key AS key, status FROM rated WHERE rated_model IN (SELECT model FROM ev)",
+    "d2_resolve_price_key": EV + f""", stems AS (SELECT DISTINCT model AS stem FROM ev UNION SELECT unnest({STEMS})),
+      names AS (SELECT DISTINCT stem || ending AS model, regexp_replace(regexp_replace(regexp_replace(lower(trim(stem || ending)), '^(us[.]anthropic[.]|openai[.])', ''), '^.*/', ''), '\\[1m\\]$', '') AS clean FROM stems, (SELECT unnest({ENDINGS}) AS ending)), {RESOLVE}
+      SELECT model, key, CASE WHEN lower(trim(model)) IN ('', 'none', 'unknown') THEN 'placeholder' WHEN key IS NULL THEN 'unknown' WHEN key = clean THEN 'exact' ELSE 'borrowed' END AS status FROM resolved""",
     "d3_classify_models": RATED + " SELECT model, status, CASE WHEN status = 'borrowed' THEN price_key END AS priced_as, count(*) AS n FROM pr GROUP BY 1, 2, 3",
     "d5_effective_rates": RATED + f" SELECT model, day, count(*) AS n, CAST(thr AS BIGINT) AS threshold, {_PRICE_COLS} FROM pr GROUP BY ALL",
     "d6_context_tier": RATED + " SELECT model, CAST(CASE WHEN request_prompt_tokens > thr THEN l_in ELSE r_in END AS DOUBLE) AS p_in, count(*) AS n, CAST(sum(request_prompt_tokens) AS BIGINT) AS prompts FROM pr GROUP BY 1, 2",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Names that reach every way a model finds its price.
 MODELS = [
     "atlas-3", "us.anthropic.atlas-3[1m]", "atlas-3.5", "atlas-3-20260101", "atlas-3-52", "borea-2-mini-preview",
-    "borea-2", "openai.vendor/borea-9", "cirrus-4.1-fast", "cirrus-4-odd-fast", "unknown", "mystery-1",
+    "borea-2", "openai.vendor/borea-9", "cirrus-4.1-rapid", "cirrus-4-odd-rapid", "unknown", "mystery-1",
 ]
 
 _USAGE = """

@@ -207,9 +207,9 @@ def keys(spark, *models):
 
 
 def test_price_keys(spark):
-    got = keys(spark, "dorado-5", "dorado-5-20260101", "dorado-5-low", "dorado-5-new", "cirrus-4.1-high-fast", "cirrus-4.2-fast", "local-llm", "atlas-3.7", "zzz", "None", "")
-    assert got["dorado-5"] == ("dorado-5", "exact") and got["dorado-5-20260101"][0] == got["dorado-5-low"][0] == "dorado-5"
-    assert got["dorado-5-new"] == (None, "unknown") and got["cirrus-4.1-high-fast"] == ("cirrus-4.1-fast", "borrowed") and got["cirrus-4.2-fast"][1] == "unknown"
+    got = keys(spark, "dorado-5", "dorado-5-20260101", "dorado-5-eco", "dorado-5-new", "cirrus-4.1-batch-rapid", "cirrus-4.2-rapid", "local-llm", "atlas-3.7", "zzz", "None", "")
+    assert got["dorado-5"] == ("dorado-5", "exact") and got["dorado-5-20260101"][0] == got["dorado-5-eco"][0] == "dorado-5"
+    assert got["dorado-5-new"] == (None, "unknown") and got["cirrus-4.1-batch-rapid"] == ("cirrus-4.1-rapid", "borrowed") and got["cirrus-4.2-rapid"][1] == "unknown"
     assert got["local-llm"][1] == "exact" and got["atlas-3.7"] == ("atlas-3.5", "borrowed") and got["zzz"][1] == "unknown"
     assert got["None"][1] == got[""][1] == "placeholder"
 
