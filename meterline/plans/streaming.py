@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import shared_folder, written
 from ..sources.sinks import read_ledger
 from ..sources.tables import usage_events
 from ..streaming import jobs
@@ -16,18 +17,41 @@ from .ingestion import DELTAS, ORACLES as BATCH, SHOWN
 from .oracle_base import EV
 
 
-def as_stream(df: DataFrame) -> DataFrame:
-    """A table as a stream of its files; all of it is one micro-batch, so each key's rows come together."""
+def as_stream(df: DataFrame, parts: int = 1, place: str = "pos") -> DataFrame:
+    """A table as a stream of its files, a micro-batch each; with ``parts`` the files follow each other by ``place``, so
+    rows of a key come in several micro-batches."""
     folder = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+    if parts == 1:
+        df.write.parquet(folder)
+        return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+    df = written(df)
+    cuts = df.approxQuantile(place, [k / parts for k in range(1, parts)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = df if low is None else df.filter(F.col(place) >= low)
+        (part if high is None else part.filter(F.col(place) < high)).coalesce(1).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@contextmanager
+def few_batches(spark):
+    """Small inputs in few state partitions, and no micro-batches without rows, which only timers need."""
+    wanted = {"spark.sql.shuffle.partitions": "4", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def drained(records: DataFrame) -> DataFrame:
     """The ledger that a stream of records leaves."""
     spark = records.sparkSession
     base = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
-    jobs.stream_ledger(records, f"{base}/table", f"{base}/progress").awaitTermination()
+    with few_batches(spark):
+        jobs.stream_ledger(records, f"{base}/table", f"{base}/progress").awaitTermination()
     return read_ledger(spark, f"{base}/table")
 
 
@@ -50,11 +74,22 @@ def g1_ledger(spark, sf_dir):
 
 
 def g2_counters(spark, sf_dir):
-    return drained(jobs.stream_counter_deltas(as_stream(raw.counter_lines(spark, sf_dir)))).select(*DELTAS)
+    """Counter files in four parts: model, counters and session of each are carried from one micro-batch to the next."""
+    return drained(jobs.stream_counter_deltas(as_stream(raw.counter_lines(spark, sf_dir), 4))).select(*DELTAS)
+
+
+def g2_forks(spark, sf_dir):
+    """Forked files whose repeated rows come in the first of four parts, before most of what their parents said; but for
+    forks of parents without a seventh row, which wait for it longer than the input lasts."""
+    lines = raw.forked_lines(spark, sf_dir)
+    said = raw.numbered(spark, sf_dir).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    short = said.filter("n = 6 AND u % 4 = 0").select(raw.rollout_path(F.col("u") + 1).alias("path"))
+    return drained(jobs.stream_counter_deltas(as_stream(lines.join(short, "path", "left_anti"), 4), wait_ms=86_400_000)).select(*DELTAS, "session_id")
 
 
 def g3_inference(spark, sf_dir):
-    return drained(jobs.stream_inference_context(as_stream(raw.inference_lines(spark, sf_dir)))).select(*SHOWN)
+    """A unified log in four parts: models and folders of its sessions are carried from one micro-batch to the next."""
+    return drained(jobs.stream_inference_context(as_stream(raw.inference_lines(spark, sf_dir), 4))).select(*SHOWN)
 
 
 def g4_dedup(spark, sf_dir):
@@ -68,11 +103,12 @@ def g5_daily(spark, sf_dir):
 
 
 
-QUERIES = {"g1_stream_ledger": g1_ledger, "g2_stream_counters": g2_counters, "g3_stream_inference": g3_inference, "g4_stream_dedup": g4_dedup, "g5_stream_daily_totals": g5_daily}
+QUERIES = {"g1_stream_ledger": g1_ledger, "g2_stream_counters": g2_counters, "g2_stream_forks": g2_forks, "g3_stream_inference": g3_inference, "g4_stream_dedup": g4_dedup, "g5_stream_daily_totals": g5_daily}
 
 ORACLES = {
     "g1_stream_ledger": EV + " SELECT dedup_key, day, total_tokens FROM ev",
     "g2_stream_counters": BATCH["b6_cumulative_to_delta"],
+    "g2_stream_forks": BATCH["b8_suppress_fork_replay"] + " WHERE NOT (u % 4 = 1 AND u - 1 IN (SELECT u FROM ev GROUP BY u HAVING count(*) = 6))",
     "g3_stream_inference": BATCH["b11_inference_events"],
     "g4_stream_dedup": EV + " SELECT dedup_key, total_tokens FROM ev",
     "g5_stream_daily_totals": EV + " SELECT day, display_source, CAST(sum(total_norm) AS BIGINT) AS tokens FROM ev GROUP BY 1, 2",

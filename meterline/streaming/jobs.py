@@ -7,19 +7,17 @@ a micro-batch does not survive a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.measures import RECORD, as_records, with_derived
 from ..operators.merge import merge_first, supersede_base
 from ..sources import counters, inference
 from ..sources.sinks import read_ledger, write_ledger
+from .processors import CLOCK, CONTEXT_OUT, INFERENCE_OUT, PARTS, RECORD_OUT, CounterContext, Expiring, ForkJudge, InferenceContext, keep_state_in_rocks
 
 
 def stream_lines(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -63,156 +61,69 @@ def stream_ledger(records: DataFrame, ledger: str, checkpoint: str, merge: Calla
     return records.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-COUNTER_STATE = "model string, project string, first_cwd string, sid string, base array<bigint>, counted boolean, replay array<bigint>, met boolean"
-COUNTER_OUT = "rollout string, path string, pos long, ts long, model string, project string, session_id string, input_tokens long, cache_read_tokens long, output_tokens long, reasoning_tokens long, total_tokens long, request_prompt_tokens long"
-PARTS = list(counters.PARTS)
-INP, CACHED, OUT, REASON, TOTAL = range(5)
+def clocked(rows: DataFrame) -> DataFrame:
+    """Rows with the time of their micro-batch, the clock of the processors' timers. No row is late by it."""
+    return rows.withColumn(CLOCK, F.current_timestamp()).withWatermark(CLOCK, "0 seconds")
 
 
-def _carried(values: pd.Series, where: np.ndarray, before: str | None) -> pd.Series:
-    """For each row the last non-empty value of the rows ``where`` up to it, or the one from earlier batches."""
-    own = values.where(where & values.notna() & (values != ""))
-    return own.ffill().fillna(before) if before else own.ffill()
+def stateful(rows: DataFrame, key: list[str], processor: Expiring, out: str, initial: DataFrame | None) -> DataFrame:
+    """``rows`` folded by key with a processor; ``initial`` has the key and what the processor starts from."""
+    keep_state_in_rocks(rows.sparkSession)
+    start = {} if initial is None else {"initialState": initial.groupBy(*key)}
+    clock = CLOCK if f"{CLOCK} timestamp" in out else ""  # what follows goes by the same clock
+    return rows.groupBy(*key).transformWithStateInPandas(processor, out, "Append", "EventTime", eventTimeColumnName=clock, **start)
 
 
-def replayed(totals: np.ndarray, parent: np.ndarray, met: bool) -> int:
-    """How many of a forked file's next totals repeat its parent: the first is looked up in the parent's totals unless
-    that was done in an earlier batch (``met``: then ``parent`` holds what may follow); the rest must go on from there.
-    Of an unknown parent only the first row counts as repeated."""
-    if not met:
-        if not len(parent):
-            return 1
-        places = np.flatnonzero(parent == totals[0])
-        if not len(places):
-            return 0
-        parent = parent[places[0] :]
-    n = min(len(totals), len(parent))
-    differs = np.flatnonzero(totals[:n] != parent[:n])
-    return int(differs[0]) if len(differs) else n
+def counter_contexts(lines: DataFrame) -> DataFrame:
+    """What the batch job has read of every counter file, as the stream's initial state: its last context and counters.
+    Fork lines in it are settled: the batch job has judged them."""
+    rows, at = counters.parse_counter_lines(lines), F.struct("pos", "path")
+    turn, meta, count = (F.col("kind") == k for k in ("turn", "meta", "count"))
+    last = lambda c, where: F.max_by(c, F.when(where & F.col(c).isNotNull(), at))
+    some = F.greatest(*[F.col(c) for c in PARTS]) > 0
+    return rows.groupBy("rollout").agg(
+        last("turn_model", turn).alias("model"), last("cwd", turn).alias("project"), F.min_by("cwd", F.when(meta & F.col("cwd").isNotNull(), at)).alias("first_cwd"), last("meta_id", meta).alias("sid"),
+        F.coalesce(F.max_by(F.array(*PARTS), F.when(count & (F.col("ts") != 0), at)), F.array(*[F.lit(0).cast("long")] * 5)).alias("base"), F.coalesce(F.bool_or(count & some), F.lit(False)).alias("counted"),
+    )
 
 
-def differences(now: np.ndarray, last: np.ndarray, has_last: np.ndarray, repeated: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """Rises of the counters against the row before each, ``base`` before the first. Where that row is all zero, a row's
-    own last request tells what the file had inherited."""
-    before = np.vstack([base, now[:-1]])
-    inherits = (before == 0).all(axis=1) & has_last & ~repeated & (last[:, TOTAL] > 0) & ((last >= 0) & (last <= now)).all(axis=1)
-    before[inherits] = (now - last)[inherits]
-    return np.maximum(now - before, 0)
+def session_totals(lines: DataFrame) -> DataFrame:
+    """session_id, rollout, totals: what forks of files that the batch job has read may repeat."""
+    rows = counters.parse_counter_lines(lines).filter("kind = 'count'").withColumn("session_id", counters.own_session(F.col("rollout")))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "path", "total")))
+    return rows.filter("session_id IS NOT NULL").groupBy("session_id", "rollout").agg(F.transform(ordered, lambda x: x["total"]).alias("totals"))
 
 
-def fold_counters(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The rows of one file in a micro-batch, against what its earlier chunks left; same rules as the batch job.
+def stream_counter_deltas(lines: DataFrame, totals: DataFrame | None = None, contexts: DataFrame | None = None, wait_ms: int = 3_600_000, idle_ms: int | None = None) -> DataFrame:
+    """Records of streamed counter files, forked ones among them: parent and child may come in any order.
 
-    The state: the last context, the last counters, whether any counter was above zero, and of a forked file the
-    parent's totals that may still be repeated (null: not forked, or past the replay).
-    """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    model, project, first_cwd, sid, base, counted, replay, met = state.get if state.exists else (None, None, None, None, [0] * 5, False, None, False)
-    rows = pd.concat(list(batches)).sort_values(["pos", "path"], ignore_index=True)
-    meta, turn, count = ((rows["kind"] == k).to_numpy() for k in ("meta", "turn", "count"))
-    sids, models, projects = _carried(rows["meta_id"], meta, sid), _carried(rows["turn_model"], turn, model), _carried(rows["cwd"], turn, project)
-    cwds = _carried(rows["cwd"], meta, None)
-    if first_cwd or cwds.notna().any():
-        first_cwd = first_cwd or cwds.dropna().iloc[0]
-        cwds = cwds.notna().map({True: first_cwd, False: None if cwds.notna().any() and not (state.exists and state.get[2]) else first_cwd})
-
-    now = rows.loc[count, PARTS].fillna(0).to_numpy(dtype=np.int64).reshape(-1, 5)
-    last = rows.loc[count, [f"last_{c}" for c in PARTS]].fillna(-1).to_numpy(dtype=np.int64).reshape(-1, 5)
-    above = np.zeros(len(rows), dtype=bool)
-    above[count] = (now > 0).any(axis=1)
-    fresh = ~(counted | np.maximum.accumulate(above)) if len(rows) else above
-    forks = np.flatnonzero(meta & fresh & rows["parent"].notna().to_numpy() & (rows["parent"] != "").to_numpy())
-    after = np.zeros(len(now), dtype=bool) if replay is None else np.ones(len(now), dtype=bool)
-    if replay is None and len(forks) and not met:
-        totals = rows["parent_totals"].iloc[forks[0]]
-        replay = [] if totals is None else [int(x) for x in totals]
-        after = np.flatnonzero(count) > forks[0]
-    repeated = np.zeros(len(now), dtype=bool)
-    if replay is not None and after.any():
-        at, parent = np.flatnonzero(after), np.asarray(replay, dtype=np.int64)
-        n = replayed(now[at, TOTAL], parent, met)
-        repeated[at[:n]] = True
-        if not met and n and len(parent):
-            parent = parent[np.flatnonzero(parent == now[at[0], TOTAL])[0] :]
-        replay, met = (parent[n:].tolist() if n == len(at) and len(parent) > n else None), True
-
-    times = rows.loc[count, "ts"].fillna(0).to_numpy(dtype=np.int64)
-    used = repeated | (times != 0)
-    chosen = rows[count][used]
-    rise = differences(now[used], last[used], chosen["any_last"].to_numpy(dtype=bool), repeated[used], np.asarray(base)) if used.any() else np.zeros((0, 5), dtype=np.int64)
-    fed = np.maximum(rise[:, TOTAL] - rise[:, OUT], 0)
-    cached = np.minimum(rise[:, CACHED], fed)
-    prompt = last[used][:, INP]
-    known = chosen["has_last"].to_numpy(dtype=bool) & (last[used][:, CACHED] >= 0) & (last[used][:, CACHED] <= prompt)
-    place = chosen.index
-    out = pd.DataFrame({
-        "rollout": key[0], "path": chosen["path"], "pos": chosen["pos"], "ts": chosen["ts"], "model": models[place].fillna(counters.DEFAULT_MODEL),
-        "project": projects[place].fillna(cwds[place]).fillna("unknown"), "session_id": sids[place].fillna(chosen["own"]).fillna(""),
-        "input_tokens": fed - cached, "cache_read_tokens": cached, "output_tokens": rise[:, OUT], "reasoning_tokens": rise[:, REASON],
-        "total_tokens": fed + rise[:, OUT], "request_prompt_tokens": pd.array(np.where(known, prompt, 0), dtype="Int64"),
-    })
-    out.loc[~known, "request_prompt_tokens"] = pd.NA
-    end = lambda s, was: was if not len(s) or pd.isna(s.iloc[-1]) else s.iloc[-1]
-    state.update((
-        end(models, model), end(projects, project), first_cwd, end(sids, sid), [int(x) for x in (now[used][-1] if used.any() else base)],
-        bool(counted or above.any()), replay, met,
-    ))
-    yield out[~repeated[used] & (rise[:, TOTAL] > 0)]
-
-
-def stream_counter_deltas(lines: DataFrame, parents: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
-    """Records of streamed counter files. ``parents`` (child: a forked file's name, totals: its parent's totals in order)
-    is static and joined by the file's name; the totals travel with the fork line only and are kept in the state while
-    the replay lasts.
-
-    The state of a file is kept for good, since the file may grow at any time; with ``idle_ms`` it goes after so long
-    without a chunk, and a later chunk is then read as a file that inherited its counters.
+    Two processors follow each other: CounterContext folds each file, ForkJudge compares forked files with what their
+    parents have said, and lets a child wait for it until rows of any file arrive ``wait_ms`` later. ``contexts`` (of
+    counter_contexts) and ``totals`` (of session_totals) are where a batch job left off. A file's state goes when it has
+    been idle for ``idle_ms`` by the same clock; a later chunk is then read as a file that inherited its counters.
+    The children of one session are judged under its key: a chain of forks spreads, the forks of one session don't.
     """
     rows = counters.parse_counter_lines(lines).withColumn("own", counters.own_session(F.col("rollout")))
-    none = F.lit(None).cast("array<bigint>")
-    if parents is None:
-        rows = rows.withColumn("parent_totals", none)
-    else:
-        named = parents.select(F.col("child").alias("rollout"), F.col("totals").cast("array<bigint>").alias("parent_totals"))
-        rows = rows.join(named, "rollout", "left").withColumn("parent_totals", F.when((F.col("kind") == "meta") & F.col("parent").isNotNull(), F.col("parent_totals")))
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        yield from fold_counters(key, batches, state)
-        if idle_ms and state.exists:
-            state.setTimeoutDuration(idle_ms)
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    folded = rows.groupBy("rollout").applyInPandasWithState(fold, COUNTER_OUT, COUNTER_STATE, "append", timeout)
+    known = None if totals is None else totals.select(F.col("session_id").alias("key"), "rollout", F.col("totals").cast("array<bigint>").alias("totals"))
+    folded = stateful(clocked(rows), ["rollout"], CounterContext(idle_ms), CONTEXT_OUT, contexts)
+    judged = stateful(folded, ["key"], ForkJudge(wait_ms, idle_ms), RECORD_OUT, known)
     key = F.concat(F.lit("codex:"), F.col("rollout"), F.lit(":"), F.col("pos").cast("string"))
-    return as_records(folded, source="codex", category="main", source_file=F.col("path"), dedup_key=key)
-
-
-INFERENCE_OUT = "path string, sid string, pos long, kind string, ts_raw string, ts long, loop string, prompt long, cached long, done long, reason long, model string, project string"
+    return as_records(judged, source="codex", category="main", source_file=F.col("path"), dedup_key=key)
 
 
-def fold_inference(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Model and folder of one session of one log, carried over micro-batches; rows without a session carry nothing."""
-    model, cwd = state.get if state.exists else (None, None)
-    rows = pd.concat(list(batches)).sort_values("pos", ignore_index=True)
-    own_model, own_cwd = (rows[c].where(rows[c].notna() & (rows[c] != "")) for c in ("own_model", "own_cwd"))
-    if key[1]:
-        models = _carried(rows["own_model"], (rows["kind"] == "model").to_numpy(), model)
-        cwds = _carried(rows["own_cwd"], (rows["kind"] == "session").to_numpy(), cwd)
-        if len(rows):
-            model, cwd = (None if pd.isna(s.iloc[-1]) else s.iloc[-1] for s in (models, cwds))
-        own_model, own_cwd = own_model.fillna(models), own_cwd.fillna(cwds)
-    state.update((model, cwd))
-    done = rows.assign(model=own_model, project=own_cwd)
-    yield done[done["kind"] == "done"][[c.split()[0] for c in INFERENCE_OUT.split(", ")]]
+def inference_contexts(lines: DataFrame) -> DataFrame:
+    """path, sid, model, project: where the batch job left every session of a unified log."""
+    rows = inference.parse_inference_lines(lines).filter("sid <> ''")
+    last = lambda c, kind: F.max_by(c, F.when((F.col("kind") == kind) & F.col(c).isNotNull(), F.col("pos")))
+    return rows.groupBy("path", "sid").agg(last("own_model", "model").alias("model"), last("own_cwd", "session").alias("project"))
 
 
-def stream_inference_context(lines: DataFrame, observer: bool = False) -> DataFrame:
-    """Records of a streamed unified log."""
+def stream_inference_context(lines: DataFrame, observer: bool = False, contexts: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
+    """Records of a streamed unified log. Rows without a session need no state and go past the fold."""
     rows = inference.parse_inference_lines(lines)
-    folded = rows.groupBy("path", "sid").applyInPandasWithState(fold_inference, INFERENCE_OUT, "model string, cwd string", "append", GroupStateTimeout.NoTimeout)
-    return inference.inference_records(folded, observer)
+    plain = rows.filter("sid = ''").withColumnsRenamed({"own_model": "model", "own_cwd": "project"}).select(*[c.split()[0] for c in INFERENCE_OUT.split(", ")])
+    folded = stateful(clocked(rows.filter("sid <> ''")), ["path", "sid"], InferenceContext(idle_ms), INFERENCE_OUT, contexts)
+    return inference.inference_records(folded.unionByName(plain), observer)
 
 
 def stream_dedup(records: DataFrame, delay: str = "2 days") -> DataFrame:

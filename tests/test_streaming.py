@@ -38,8 +38,8 @@ def drain(records, tmp_path, ledger="ledger", **how):
 
 def test_counters_over_restarts_equal_batch(spark, tmp_path):
     logs = tmp_path / "logs"
-    parents = spark.createDataFrame([(f"{NAME}2", [10, 20, 30, 40])], "child string, totals array<bigint>")
-    run = lambda: drain(jobs.stream_counter_deltas(jobs.stream_lines(spark, str(logs)), parents), tmp_path)
+    older = spark.createDataFrame([(f"{UUID}1"[-36:], "older", [10, 20, 30, 40])], "session_id string, rollout string, totals array<bigint>")
+    run = lambda: drain(jobs.stream_counter_deltas(jobs.stream_lines(spark, str(logs)), older, wait_ms=1), tmp_path)
     chunk(logs, f"{NAME}1.jsonl", 1, [{"type": "turn_context", "payload": {"model": "m1", "cwd": "/w"}}, snap(300, 200, 0, 100)])
     chunk(logs, f"{NAME}2.jsonl", 1, [fork(1)])
     run()
@@ -47,7 +47,7 @@ def test_counters_over_restarts_equal_batch(spark, tmp_path):
     chunk(logs, f"{NAME}2.jsonl", 2, totals(10, 20))
     chunk(logs, f"{NAME}3.jsonl", 1, [fork(9), *totals(135000000, 135000500)])
     run()
-    chunk(logs, f"{NAME}2.jsonl", 3, totals(30, 55))
+    chunk(logs, f"{NAME}2.jsonl", 3, totals(30, 55))  # its arrival ends the wait of the third file
     run()
     got = read_ledger(spark, str(tmp_path / "ledger")).orderBy("source_file", "pos").collect()
     assert [(r.source_file[-7], r.total_tokens) for r in got] == [("1", 300), ("1", 500), ("1", 700), ("2", 25), ("3", 500)]
