@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.measures import RECORD, as_records, with_derived
-from ..operators.merge import merge_first, supersede_base
+from ..operators.merge import merge_first
 from ..sources import counters, inference
-from ..sources.sinks import read_ledger, write_ledger
+from ..sources.sinks import merge_into_ledger
 from .processors import CLOCK, CONTEXT_OUT, INFERENCE_OUT, PARTS, RECORD_OUT, CounterContext, Expiring, ForkJudge, InferenceContext, keep_state_in_rocks
 
 
@@ -33,29 +33,15 @@ def stream_lines(spark: SparkSession, folder: str, files_per_batch: int = 1000)
 def stream_ledger(records: DataFrame, ledger: str, checkpoint: str, merge: Callable[[DataFrame, DataFrame], DataFrame] = merge_first) -> StreamingQuery:
     """Merges streamed records into the ledger at a path, a micro-batch at a time, until the input is used up.
 
-    Only days that a batch touches, or that hold stored rows of its keys, are rewritten. A batch that is tried again
-    after a failure finds its keys there and changes nothing, so ledger and checkpoint agree.
+    Only days that a batch touches, or that hold stored rows of its keys, are read and rewritten, and come into force
+    together with one snapshot. A batch that is tried again after a failure finds its keys there and changes nothing,
+    so ledger and checkpoint agree.
     """
 
     def absorb(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        try:
-            stored = read_ledger(spark, ledger)
-        except Exception as e:  # noqa: BLE001  the first batch makes the table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = None
-        if stored is None:
-            merged = supersede_base(merge(spark.createDataFrame([], RECORD), batch))
-        else:
-            met = stored.join(batch.select("dedup_key").distinct(), "dedup_key", "left_semi").select("date_local")
-            days = met.unionByName(with_derived(batch).select("date_local")).distinct()
-            part = stored.join(days, "date_local", "left_semi").select(*RECORD.names)
-            merged = supersede_base(merge(part, batch))
-        from ..session import written
-
-        write_ledger(written(merged), ledger)  # written aside first: it reads the days it replaces
+        batch = batch.select(*RECORD.names).persist()
+        if not batch.isEmpty():
+            merge_into_ledger(batch, ledger, merge)
         batch.unpersist()
 
     return records.writeStream.foreachBatch(absorb).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
