@@ -35,11 +35,10 @@ ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-#: Elements that never hold main text.
-DROPPED = set(
-    "nav footer aside form script style noscript template button select input textarea label fieldset iframe object embed svg canvas "
-    "audio video dialog menu head title search".split()
-)
+#: Elements whose text is none of the page's.
+DROPPED = set("script style noscript template button select input textarea label iframe object embed svg canvas audio video head title".split())
+#: Elements that seldom hold the main text; what they hold decides.
+DOUBTFUL = set("nav footer aside form fieldset dialog menu search".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form tooltip".split())
 #: Parts of class names and ids that mark other than main text.
 ASIDE = set(
@@ -49,47 +48,54 @@ ASIDE = set(
     "related recommended recommendations share sharing social follow widget pager pagination paging skip hidden copyright legal "
     "disclaimer paywall form search tags".split()
 )
+#: Names of readers' comments.
+COMMENTS = set("comment comments commentlist disqus discussion replies reply respond responses".split())
+#: Names that pages give to wrappers as well as to asides.
+BROAD = set("sidebar side overlay hidden modal tags form search skip widget social share toolbar".split())
+#: Names that say how an element is laid out, or what else there is on the page, not what it is.
+LAYOUT = re.compile(r"^(?:no|has|with|without|is|not|show|hide|enable|disable)-|-(?:with|no|has|without)-|-(?:hidden|fixed|sticky|visible|open|closed|enabled|disabled|layout|on|off)$")
 GOOD = re.compile(r"article|body|content|entry|main|page|post|story|text|blog", re.I)
 WEIGHT = {"article": 25, "main": 20, "section": 5, "div": 5, "td": 3, "pre": 3, "blockquote": 3, "li": -3, "ul": -3, "ol": -3, "dl": -3, "th": -5}
 PARAGRAPHS = set("p pre td blockquote div section article main li dd".split())
 
 
 class Element:
-    __slots__ = ("tag", "parent", "kids", "off", "score", "chars", "link_chars", "named")
+    __slots__ = ("tag", "parent", "kids", "off", "doubt", "score", "chars", "link_chars", "named", "points")
 
-    def __init__(self, tag: str, parent: Element | None, off: bool = False, named: str = ""):
-        self.tag, self.parent, self.off, self.named = tag, parent, off, named
+    def __init__(self, tag: str, parent: Element | None, off: bool = False, doubt: str = "", named: str = ""):
+        self.tag, self.parent, self.off, self.doubt, self.named = tag, parent, off, doubt, named
         self.kids: list[Element | str] = []
-        self.score, self.chars, self.link_chars = 0.0, 0, 0
+        self.score, self.chars, self.link_chars, self.points = 0.0, 0, 0, 0.0
 
 
-def is_aside(tag: str, attributes: str, parent: Element) -> tuple[bool, str]:
-    """Whether an element is left out with all it holds, and its class and id."""
+def is_aside(tag: str, attributes: str, parent: Element) -> tuple[bool, str, str]:
+    """Whether an element's text is none of the page's (it is hidden or no text), why else it may not be main text
+    (``comments``, ``tag``, ``name`` or ``broad``, or nothing), and its class and id."""
     if tag in DROPPED:
-        return True, ""
+        return True, "", ""
     in_article = tag == "header" and inside(parent, ("article", "main"))
-    if tag == "header" and not in_article:
-        return True, ""
+    doubt = "tag" if tag in DOUBTFUL or tag == "header" and not in_article else ""
     if "=" not in attributes and "hidden" not in attributes:
-        return False, ""
+        return False, doubt, ""
     named, off = [], False
     for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c)
         if name in ("class", "id"):
             named.append(value)
-        elif name == "role" and value.lower() in ROLES or name == "aria-hidden" and value == "true":
+        elif name == "role" and value.lower() in ROLES:
+            doubt = doubt or "name"
+        elif name == "aria-hidden" and value == "true" or hidden:
             off = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             off = True
-        elif hidden:
-            off = True
     label = " ".join(named)
-    parts = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", label).lower()))
+    own = [n for n in re.sub(r"([a-z])([A-Z])", r"\1-\2", label).lower().split() if not LAYOUT.search(n) or n == "visually-hidden"]
+    parts = set(re.split(r"[^a-z]+", " ".join(own)))
     if parts & ASIDE and tag not in ("body", "html", "article", "main"):
-        off = off or not (in_article and parts & ASIDE <= {"header"})
+        doubt = doubt or ("" if in_article and parts & ASIDE <= {"header"} else "broad" if parts & ASIDE <= BROAD else "name")
     if tag == "article" and parts & {"comment", "comments", "reply", "related", "ad", "ads", "promo", "sponsored"}:
-        off = True
-    return off, label
+        doubt = "name"
+    return off, "comments" if doubt and parts & COMMENTS else doubt, label
 
 
 def inside(element: Element | None, tags: tuple[str, ...]) -> bool:
@@ -148,8 +154,8 @@ def parse(page: str) -> Element:
             found = open_one(*ENDS[tag])
             if found is not None:
                 close(found)
-        off, named = is_aside(tag, attributes, here)
-        child = Element(tag, here, off or here.off, named)
+        off, doubt, named = is_aside(tag, attributes, here)
+        child = Element(tag, here, off or here.off, doubt, named)
         here.kids.append(child)
         if tag in RAW:
             stop = RAW[tag].search(page, at)
@@ -176,25 +182,67 @@ def walk(root: Element):
         yield e, True
 
 
+def spoken_points(e: Element, own: list[str]) -> float:
+    """A paragraph's points: one, one more for each comma and each hundred characters up to three, less its links."""
+    if e.tag not in PARAGRAPHS:
+        return 0.0
+    spoken = e.chars - sum(k.chars for k in e.kids if isinstance(k, Element) and k.tag in BLOCK)
+    if spoken < 25:
+        return 0.0
+    commas = sum(t.count(",") + t.count("，") + t.count("、") for t in own)
+    return (1 + commas + min(spoken / 100, 3)) * (1 - e.link_chars / max(1, e.chars))
+
+
+def measured(e: Element) -> list[str]:
+    """Sets an element's lengths of text and of links from its own texts, which it returns, and its children's."""
+    own = [html.unescape(k) if "&" in k else k for k in e.kids if isinstance(k, str)]
+    inline = [k for k in e.kids if isinstance(k, Element)]
+    e.chars = len(" ".join(" ".join(own).split())) + sum(k.chars for k in inline)
+    e.link_chars = e.chars if e.tag == "a" else sum(k.link_chars for k in inline)
+    return own
+
+
+def drop_asides(root: Element) -> None:
+    """Turns doubtful elements off with all below them, but for those that hold what the page is about: its richest
+    article or main, or at least half of its paragraphs' points (which does not save a nav, footer or header, nor
+    comments). Comments stay only if they hold that article and four fifths of the points."""
+    if not any(e.doubt for e, out in walk(root) if not out and not e.off):
+        return
+    best = None
+    for e, out in walk(root):
+        if out and not e.off:
+            own = measured(e)
+            e.points = (spoken_points(e, own) if e.tag in ("p", "pre", "blockquote") else 0) + sum(k.points for k in e.kids if isinstance(k, Element))
+            if e.tag in ("article", "main") and not e.doubt and e.chars and (best is None or (e.points, e.chars) >= (best.points, best.chars)):
+                best = e
+    holders, bare = set(), best is None
+    while best is not None:
+        holders.add(id(best))
+        best = best.parent
+    for e, out in walk(root):
+        if out or e.parent is None:
+            continue
+        share = e.points / root.points if root.points else 0.0
+        if e.doubt == "comments":
+            saved = id(e) in holders and share >= 0.8
+        else:
+            saved = id(e) in holders or bare and share >= 0.5 and (e.doubt == "broad" or e.tag in ("form", "fieldset", "aside"))
+        e.off = e.off or e.parent.off or bool(e.doubt) and not saved
+    for e, out in walk(root):
+        if not out:
+            e.chars = e.link_chars = 0
+
+
 def score(root: Element) -> list[Element]:
-    """Points for every container. A paragraph's own text earns one point, one more for each comma and each hundred
-    characters up to three; its parent gets all of them, the next ancestor half, others a share that falls with distance."""
+    """Points for every container: a paragraph's parent gets all of its points (see spoken_points), the next ancestor
+    half, others a share that falls with distance."""
     touched: dict[int, Element] = {}
     for e, out in walk(root):
         if not out or e.off:
             continue
-        own = [html.unescape(k) if "&" in k else k for k in e.kids if isinstance(k, str)]
-        inline = [k for k in e.kids if isinstance(k, Element)]
-        direct = " ".join(" ".join(own).split())
-        e.chars = len(direct) + sum(k.chars for k in inline)
-        e.link_chars = e.chars if e.tag == "a" else sum(k.link_chars for k in inline)
-        if e.tag not in PARAGRAPHS:
-            continue
-        spoken = e.chars - sum(k.chars for k in inline if k.tag in BLOCK)
-        if spoken < 25:
+        points = spoken_points(e, measured(e))
+        if not points:
             continue
-        commas = sum(t.count(",") + t.count("，") + t.count("、") for t in own)
-        points = (1 + commas + min(spoken / 100, 3)) * (1 - e.link_chars / max(1, e.chars))
         up, level = (e.parent if e.tag in ("p", "li", "dd", "pre", "blockquote", "td") else e), 0
         while up is not None and up is not root and level < 5:
             if id(up) not in touched:
@@ -209,6 +257,7 @@ def score(root: Element) -> list[Element]:
 
 def chosen(root: Element) -> list[Element]:
     """The elements whose text is the main text, in page order."""
+    drop_asides(root)
     scored = score(root)
     named = [e for e, out in walk(root) if not out and not e.off and e.tag in ("article", "main") and e.chars]
     if not scored:

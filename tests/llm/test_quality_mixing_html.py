@@ -246,3 +246,31 @@ def test_pages_awkward_rows(spark):
         texts[r.page_id].add(r.text)
     assert all(texts[i] == {want} for i, (_, want) in enumerate(PAGES))
     assert extract_pages(spark.createDataFrame([], kind)).count() == 0
+
+
+ARTICLE = "<article><h1>Title here</h1><p>First paragraph of the article, with commas, and more than enough words to count.</p><p>Second paragraph, also long enough, to be kept whole.</p></article>"
+PLAIN = ARTICLE.replace("article>", "div>")
+WANTED = "Title here\nFirst paragraph of the article, with commas, and more than enough words to count.\nSecond paragraph, also long enough, to be kept whole."
+AROUND = '<nav><a href="/">Home</a></nav><div class="cookie-banner"><p>We use cookies, as all do, to make this site better for you.</p></div>%s<footer><p>All rights reserved, of this site, and of all others too.</p></footer>'
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="wrapper overflow-hidden">%s</div>', '<div class="layout no-sidebar">%s</div>', '<div id="page" class="header-fixed">%s</div>', "<form method=post>%s</form>",
+    '<div class="has-sidebar"><div class="with-comments">%s</div></div>', '<main><section class="post-with-tags">%s</section></main>', '<div class="sidebar-left">%s</div>', '<div role="dialog">%s</div>', "<aside>%s</aside>", '<div class="has-sidebar menu">%s</div>',
+])
+def test_wrappers_that_hold_the_article_are_kept(page):
+    assert main_text(AROUND % (page % ARTICLE)) == WANTED
+
+
+@pytest.mark.parametrize("page", ['<div class="wrapper overflow-hidden">%s</div>', '<div class="no-sidebar">%s</div>', "<form>%s</form>", '<div class="side">%s</div>'])
+def test_wrappers_on_pages_without_an_article_are_kept(page):
+    assert main_text(AROUND % (page % PLAIN)) == WANTED
+
+
+@pytest.mark.parametrize("aside", [
+    '<div class="sidebar"><p>%s</p></div>', '<div class="comments"><article class="comment"><p>%s</p></article></div>', '<aside class="related"><article class="card"><p>%s</p></article></aside>',
+    "<form><p>%s</p></form>", '<div class="ad-slot"><p>%s</p></div>', '<div style="display:none"><p>%s</p></div>', '<section id="comments"><p>%s</p><p>%s</p><p>%s</p></section>', '<div class="visually-hidden"><p>%s</p></div>',
+])
+def test_asides_go_beside_the_article(aside):
+    text = "This is a sentence of an aside, with commas, that stands beside the article."
+    assert main_text(AROUND % (ARTICLE + aside.replace("%s", text))) == WANTED
