@@ -60,20 +60,21 @@ def hashed_lines(docs: DataFrame, unit: tuple[str, ...], min_words: int) -> Data
 
 
 def fingerprints(lines: DataFrame) -> DataFrame:
-    """doc_id, text_hash, print, pos, len, and back and ahead (two columns each): the winnowed grams of every document.
+    """doc_id, text_hash, print, pos, shape, and back and ahead (two columns each): the winnowed grams of every document.
 
     A gram is the shortest run of lines from ``pos`` on with GRAM_WORDS words or GRAM_LINES lines. A window is the shortest run
     with ``min_words`` words or WINDOW lines; of the grams inside a window the least hash is selected, of equal ones the
     first. Windows and grams are cut by their own words alone, so every run of lines of ``min_words`` words has a gram
     selected wherever it stands. ``back`` and ``ahead`` hold 32 bits of the hashes of the SIDE lines before and after
-    the gram: from a selected gram it is never further to the next one, or to the end of a shared run.
+    the gram: from a selected gram it is never further to the next one, or to the end of a shared run. ``shape`` packs
+    the gram's lines and those of the windows that begin at most SIDE lines before it (see gram_lines, window_lines).
     """
     h, i, reach = F.col("h"), F.col("i"), WINDOW + 1  # this window and the next: a gram is given out by the last window that selects it
     # what lies beyond the text differs between documents, and from all lines
     named = lines.filter(F.size(h) > 0).withColumn("beyond", F.xxhash64("doc_id", "text_hash", F.lit("beyond")))
     starts = named.select("doc_id", "text_hash", "beyond", "h", "n", "size", F.explode(F.sequence(F.lit(0), F.size(h) - 1)).alias("i"))
     one = starts.select(
-        "doc_id", "text_hash", "beyond", "h", "i", *[F.get(h, i + k).alias(f"h{k}") for k in range(reach + GRAM_LINES - 1)],
+        "doc_id", "text_hash", "beyond", "h", "size", "i", *[F.get(h, i + k).alias(f"h{k}") for k in range(reach + GRAM_LINES - 1)],
         *[F.get(F.col("n"), i + k).alias(f"n{k}") for k in range(reach)], *[F.get(F.col("size"), i + k).alias(f"size{k}") for k in range(2)],
     )
 
@@ -84,9 +85,9 @@ def fingerprints(lines: DataFrame) -> DataFrame:
         return made
 
     both = [(first, k) for first in (0, 1) for k in range(first, first + WINDOW)]
-    three = one.select("doc_id", "text_hash", "beyond", "h", "i", "size0", "size1", *[f"n{k}" for k in range(reach)], *[gram(k).alias(f"g{k}") for k in range(reach)])
+    three = one.select("doc_id", "text_hash", "beyond", "h", "size", "i", "size0", "size1", *[f"n{k}" for k in range(reach)], *[gram(k).alias(f"g{k}") for k in range(reach)])
     inside = lambda first, k: F.when(F.col(f"n{k}") + (k - first) <= F.col(f"size{first}"), F.col(f"g{k}"))
-    four = three.select("doc_id", "text_hash", "beyond", "h", "i", *[f"n{k}" for k in range(WINDOW)], *[inside(*x).alias("v{}{}".format(*x)) for x in both])
+    four = three.select("doc_id", "text_hash", "beyond", "h", "size", "i", *[f"n{k}" for k in range(WINDOW)], *[inside(*x).alias("v{}{}".format(*x)) for x in both])
     least = lambda first: F.least(*[F.col(f"v{f}{k}") for f, k in both if f == first])
     five = four.select("*", least(0).alias("m0"), least(1).alias("m1"))
 
@@ -96,21 +97,23 @@ def fingerprints(lines: DataFrame) -> DataFrame:
             out = out.when(F.col(f"v{first}{k}") == F.col(f"m{first}"), k)
         return out
 
-    six = five.select("doc_id", "text_hash", "beyond", "h", "i", "m0", *[f"n{k}" for k in range(WINDOW)], place(0).alias("p0"), place(1).alias("p1"))
+    six = five.select("doc_id", "text_hash", "beyond", "h", "size", "i", "m0", *[f"n{k}" for k in range(WINDOW)], place(0).alias("p0"), place(1).alias("p1"))
     # given out by an explode, and the value with it: filters would be pushed below these steps and evaluate all of them again
     again = F.coalesce(F.col("p0") == F.col("p1"), F.lit(False))
     chosen = F.when(F.col("p0").isNotNull() & ~again, F.array(F.struct(F.col("m0").alias("print"), F.col("p0").alias("p"))))
-    seven = six.select("doc_id", "text_hash", "beyond", "h", "i", *[f"n{k}" for k in range(WINDOW)], F.explode(chosen).alias("c"))
+    seven = six.select("doc_id", "text_hash", "beyond", "h", "size", "i", *[f"n{k}" for k in range(WINDOW)], F.explode(chosen).alias("c"))
     n_lines = F.get(F.array(*[F.col(f"n{k}") for k in range(WINDOW)]), F.col("c.p"))
-    at = seven.select("doc_id", "text_hash", "beyond", "h", "c.print", (F.col("i") + F.col("c.p")).alias("pos"), n_lines.alias("len"))
+    at = seven.select("doc_id", "text_hash", "beyond", "h", "size", "c.print", (F.col("i") + F.col("c.p")).alias("pos"), n_lines.alias("len"))
 
     def pair(near: Column, far: Column) -> Column:
         low = lambda x: F.coalesce(F.when(x >= 0, F.get(F.col("h"), x)), F.col("beyond")).bitwiseAND(0xFFFFFFFF)
         return F.shiftleft(low(far), 32).bitwiseOR(low(near))
 
-    p, end = F.col("pos"), F.col("pos") + F.col("len")
+    p, end, shape = F.col("pos"), F.col("pos") + F.col("len"), F.col("len")
+    for k in range(SIDE + 1):
+        shape = shape.bitwiseOR(F.shiftleft(F.coalesce(F.when(p >= k, F.get("size", p - k)), F.lit(0)), 2 + 3 * k))
     return at.select(
-        "doc_id", "text_hash", "print", "pos", "len", pair(p - 1, p - 2).alias("back1"), pair(p - 3, p - 4).alias("back2"),
+        "doc_id", "text_hash", "print", "pos", shape.alias("shape"), pair(p - 1, p - 2).alias("back1"), pair(p - 3, p - 4).alias("back2"),
         pair(end, end + 1).alias("ahead1"), pair(end + 2, end + 3).alias("ahead2"),
     )
 
@@ -118,6 +121,15 @@ def fingerprints(lines: DataFrame) -> DataFrame:
 CONTEXT = ["doc_id", "text_hash", "pos", "back1", "back2", "ahead1", "ahead2"]
 
 
+def gram_lines() -> Column:
+    return F.col("shape").bitwiseAND(3)
+
+
+def window_lines(k: int) -> Column:
+    """Lines of the window that begins ``k`` lines before the gram, 0 if there is none."""
+    return F.shiftright("shape", 2 + 3 * k).bitwiseAND(7)
+
+
 def agreeing(one: str, other: str) -> Column:
     """How many of SIDE lines agree, the nearest first."""
     near, far = (F.col(f"{one}{k}").bitwiseXOR(F.col(f"{other}{k}")) for k in (1, 2))
@@ -125,9 +137,9 @@ def agreeing(one: str, other: str) -> Column:
     return F.when(half(near), 0).when(near != 0, 1).when(half(far), 2).when(far != 0, 3).otherwise(4)
 
 
-def matches(prints: DataFrame) -> DataFrame:
-    """Fingerprints, each with an earlier place of its value (from_<column>): the first one, and the one before it if
-    that is in the same document.
+def matches(prints: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(met, heads): fingerprints, each with an earlier place of its value (from_<column>): the first one, and the one
+    before it if that is in the same document; and the bucket's firsts below, if there are buckets.
 
     Places meet in a window by value. The values that may hold more than SUPPORT of all fingerprints (Misra-Gries names
     them, 1/SUPPORT at most) are dealt to SALTS buckets by document; there a place meets the first one of its bucket,
@@ -144,13 +156,49 @@ def matches(prints: DataFrame) -> DataFrame:
     same = lambda c: (F.col(f"{c}.doc_id") == F.col("doc_id")) & (F.col(f"{c}.text_hash") == F.col("text_hash"))
     later = F.coalesce(same("last") & (F.col("last.pos") < F.col("pos")), F.lit(False))
     offers = F.array(F.when(~same("first"), F.col("first")), F.when(later, F.col("last")))
-    met = placed.filter(~same("first") | later).select("*", F.explode(offers).alias("from")).filter("from IS NOT NULL").select(*CONTEXT, "len", "from")
+    met = placed.filter(~same("first") | later).select("*", F.explode(offers).alias("from")).filter("from IS NOT NULL").select("print", *CONTEXT, "shape", "from")
+    firsts = None
     if found:
         dealt = prints.filter(hot).withColumn("salt", F.pmod(F.hash("doc_id", "text_hash"), F.lit(SALTS))).groupBy("print", "salt")
-        least = dealt.agg(F.min_by(F.struct(*CONTEXT, "len"), F.struct(*order)).alias("at"))
-        heads = least.select("print", "at.*").withColumn("from", F.first(whole).over(Window.partitionBy("print").orderBy(*order))).filter(~same("from"))
-        met = met.unionByName(heads.select(*CONTEXT, "len", "from"))
-    return met.select(*CONTEXT, "len", *[F.col(f"from.{c}").alias(f"from_{c}") for c in CONTEXT])
+        least = dealt.agg(F.min_by(F.struct(*CONTEXT, "shape"), F.struct(*order)).alias("at"))
+        firsts = least.select("print", "at.*")
+        heads = firsts.withColumn("from", F.first(whole).over(Window.partitionBy("print").orderBy(*order))).filter(~same("from"))
+        met = met.unionByName(heads.select("print", *CONTEXT, "shape", "from"))
+    return met.select("print", *CONTEXT, "shape", *[F.col(f"from.{c}").alias(f"from_{c}") for c in CONTEXT]), firsts
+
+
+def open_windows(places: DataFrame, back: Column, ahead: Column) -> DataFrame:
+    """The places' windows around their grams that do not lie within ``back`` lines before and ``ahead`` after the gram,
+    a row each, as fingerprints whose value is the window's: gram and lines beside it, as far as the window goes."""
+
+    def beside(side: str, lines: Column) -> list[Column]:
+        low = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
+        return [F.when(lines >= n + 1, F.col(f"{side}{k}")).when(lines == n, low(f"{side}{k}")).otherwise(0) for k, n in ((1, 1), (2, 3))]
+
+    def window(k: int) -> Column:
+        after = window_lines(k) - k - gram_lines()
+        value = F.xxhash64("print", F.lit(k), after, *beside("back", F.lit(k)), *beside("ahead", after))
+        return F.when((window_lines(k) > 0) & (after >= 0) & ((F.lit(k) > back) | (after > ahead)), value)
+
+    values = F.array_compact(F.array(*[window(k) for k in range(SIDE + 1)]))
+    return places.select(*CONTEXT, "shape", F.explode(values).alias("print"))
+
+
+def all_matches(prints: DataFrame) -> DataFrame:
+    """The matches of grams, and those of windows that the grams' matches leave open.
+
+    A gram's first place may stand in other surroundings than a later pair of equal places, as a sentence does that is
+    used alone and in passages. Every run of ``min_words`` words holds a whole window, which selects a gram in all
+    places of the run; so what the first place does not share is looked up once more by the whole window. A place
+    whose window its first place shares needs no look: whoever has that window shares it with the first place too.
+    """
+    met, firsts = matches(prints)
+    met = materialize(met, compression="zstd")
+    missed = open_windows(met, agreeing("back", "from_back"), agreeing("ahead", "from_ahead"))
+    if firsts is not None:  # places of different buckets know different firsts: those meet each other's windows
+        missed = missed.unionByName(open_windows(firsts, F.lit(-1), F.lit(-1)))
+    again, _ = matches(materialize(missed.dropDuplicates(["print", *CONTEXT]), compression="zstd"))
+    return met.unionByName(again)
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
@@ -160,11 +208,11 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     A match is extended both ways while the lines agree; matches along the same place (document and distance) that
     touch are one run. Runs along different places are never joined.
     """
-    met = matches(fingerprints(lines))
+    met = all_matches(fingerprints(lines))
     back = F.least(agreeing("back", "from_back"), F.col("pos"), F.col("from_pos"))
     spans = met.select(
         "doc_id", "text_hash", "from_doc_id", "from_text_hash", (F.col("pos") - F.col("from_pos")).alias("apart"),
-        (F.col("pos") - back).alias("run_from"), (F.col("pos") + F.col("len") - 1 + agreeing("ahead", "from_ahead")).alias("run_to"),
+        (F.col("pos") - back).alias("run_from"), (F.col("pos") + gram_lines() - 1 + agreeing("ahead", "from_ahead")).alias("run_to"),
     ).repartition("doc_id", "text_hash")
     along = ["doc_id", "text_hash", "from_doc_id", "from_text_hash", "apart"]
     order = Window.partitionBy(*along).orderBy("run_from", "run_to")
@@ -175,15 +223,15 @@ def repeated_runs(lines: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("run_from", "run_to"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: tuple[str, ...] = SENTENCES, min_words: int = 40, long_pairs: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: tuple[str, ...] = SENTENCES, min_words: int = 40) -> DataFrame:
     """The rows of ``docs`` with ``text_col`` cleaned, and the column _deleted (number of lines).
 
     Deleted are the later places of repeated runs of lines: runs of at least ``min_words`` words that stand, as a whole
     and in the same order, in an earlier document (by id) or earlier in the same one. A line ends at a newline or a
-    sentence's end; lines are compared without the white space around them. Every such run has fingerprints selected in
-    all its places; a run is missed only where its fingerprints first stand elsewhere, in shorter runs. Nothing else
+    sentence's end; lines are compared without the white space around them. Every such run holds a whole
+    window of at least ``min_words`` words or WINDOW lines, by which all its places meet (see all_matches). Nothing else
     is deleted, but for chance: a line at a run's end counts as equal by 32 bits of its hash. More than SIDE lines
-    without a word end a run. ``long_pairs`` is kept for callers; runs of two lines are always found.
+    without a word end a run.
 
     Rows with a null id or a null or empty text pass unchanged and delete nothing. Rows that repeat an id and its text
     are one document: neither is deleted for the other. An empty table gives no rows. Extra columns pass unchanged.
