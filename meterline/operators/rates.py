@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import clean_model, is_placeholder
-from ..session import written
 
 PRICE_NAMES = ["input", "output", "cache_read", "write_5m", "write_1h", "write_30m"]
 RATE_SCHEMA = "key string, starts string, over bigint, " + ", ".join(f"{p} decimal(12,6)" for p in PRICE_NAMES)
@@ -163,11 +162,13 @@ def with_rates(events: DataFrame, rates: DataFrame, rules: list[Family] | None =
     p_read, p_5m, p_1h, status and price_key. The tier is decided for each record: above the threshold, not at it; an
     unknown prompt is the base tier.
 
-    The models are resolved once, from a scan of their column alone, and written. The few rows are counted; up to
-    BROADCAST_ROWS of them are broadcast, so that the ledger is read once more and not shuffled before its sums.
+    The models are resolved once, in one job over their column alone, which brings BROADCAST_ROWS + 1 rows to the driver
+    at most. Where that is all of them they are broadcast, so that the ledger is read once more and not shuffled before
+    its sums; else the join is left to the optimizer.
     """
-    rated = written(rated_models(events, rates, rules).withColumnsRenamed({"model": "rated_model", "key": "price_key"}))
-    rated = F.broadcast(rated) if rated.count() <= BROADCAST_ROWS else rated
+    rated = rated_models(events, rates, rules).withColumnsRenamed({"model": "rated_model", "key": "price_key"})
+    rows = rated.limit(BROADCAST_ROWS + 1).collect()
+    rated = F.broadcast(events.sparkSession.createDataFrame(rows, rated.schema)) if len(rows) <= BROADCAST_ROWS else rated
     day = F.date_format("date_local", "yyyy-MM-dd")
     same = F.col("model").eqNullSafe(F.col("rated_model")) & (day >= F.col("valid_from")) & (day < F.col("valid_to"))
     is_long = F.coalesce(F.col("request_prompt_tokens") > F.col("threshold"), F.lit(False))
