@@ -137,14 +137,14 @@ def agreeing(one: str, other: str) -> Column:
     return F.when(half(near), 0).when(near != 0, 1).when(half(far), 2).when(far != 0, 3).otherwise(4)
 
 
-def matches(prints: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(met, heads): fingerprints, each with an earlier place of its value (from_<column>): the first one, and the one
-    before it if that is in the same document; and the bucket's firsts below, if there are buckets.
+def matches(prints: DataFrame) -> DataFrame:
+    """Fingerprints, each with an earlier place of its value (from_<column>): the first one, and the one before it if
+    that is in the same document.
 
     Places meet in a window by value. The values that may hold more than SUPPORT of all fingerprints (Misra-Gries names
-    them, 1/SUPPORT at most) are dealt to SALTS buckets by document; there a place meets the first one of its bucket,
-    and the firsts of all buckets, few whatever the input, meet in a second window. So every place but the very first
-    is joined to an earlier one, and no task has more than its share of a value that stands everywhere.
+    them, 1/SUPPORT at most) are dealt to SALTS buckets by document, and their first places, a row a value, are
+    broadcast. So every place but the first is joined to it, and no task has more than its share of a value that stands
+    everywhere.
     """
     found = prints.freqItems(["print"], SUPPORT).first()["print_freqItems"]
     hot = F.col("print").isin(*found) if found else F.lit(False)
@@ -153,18 +153,14 @@ def matches(prints: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     whole = F.struct(*CONTEXT)
     bucket = Window.partitionBy("print", "salt").orderBy(*order)
     placed = salted.withColumns({"first": F.first(whole).over(bucket), "last": F.lag(whole).over(bucket)})
+    if found:
+        tops = prints.filter(hot).groupBy("print").agg(F.min_by(whole, F.struct(*order)).alias("top"))
+        placed = placed.join(F.broadcast(tops), "print", "left").withColumn("first", F.coalesce("top", "first"))
     same = lambda c: (F.col(f"{c}.doc_id") == F.col("doc_id")) & (F.col(f"{c}.text_hash") == F.col("text_hash"))
     later = F.coalesce(same("last") & (F.col("last.pos") < F.col("pos")), F.lit(False))
     offers = F.array(F.when(~same("first"), F.col("first")), F.when(later, F.col("last")))
-    met = placed.filter(~same("first") | later).select("*", F.explode(offers).alias("from")).filter("from IS NOT NULL").select("print", *CONTEXT, "shape", "from")
-    firsts = None
-    if found:
-        dealt = prints.filter(hot).withColumn("salt", F.pmod(F.hash("doc_id", "text_hash"), F.lit(SALTS))).groupBy("print", "salt")
-        least = dealt.agg(F.min_by(F.struct(*CONTEXT, "shape"), F.struct(*order)).alias("at"))
-        firsts = least.select("print", "at.*")
-        heads = firsts.withColumn("from", F.first(whole).over(Window.partitionBy("print").orderBy(*order))).filter(~same("from"))
-        met = met.unionByName(heads.select("print", *CONTEXT, "shape", "from"))
-    return met.select("print", *CONTEXT, "shape", *[F.col(f"from.{c}").alias(f"from_{c}") for c in CONTEXT]), firsts
+    met = placed.filter(~same("first") | later).select("*", F.explode(offers).alias("from")).filter("from IS NOT NULL")
+    return met.select("print", *CONTEXT, "shape", *[F.col(f"from.{c}").alias(f"from_{c}") for c in CONTEXT])
 
 
 def open_windows(places: DataFrame, back: Column, ahead: Column) -> DataFrame:
@@ -192,13 +188,9 @@ def all_matches(prints: DataFrame) -> DataFrame:
     places of the run; so what the first place does not share is looked up once more by the whole window. A place
     whose window its first place shares needs no look: whoever has that window shares it with the first place too.
     """
-    met, firsts = matches(prints)
-    met = materialize(met, compression="zstd")
+    met = materialize(matches(prints), compression="zstd")
     missed = open_windows(met, agreeing("back", "from_back"), agreeing("ahead", "from_ahead"))
-    if firsts is not None:  # places of different buckets know different firsts: those meet each other's windows
-        missed = missed.unionByName(open_windows(firsts, F.lit(-1), F.lit(-1)))
-    again, _ = matches(materialize(missed.dropDuplicates(["print", *CONTEXT]), compression="zstd"))
-    return met.unionByName(again)
+    return met.unionByName(matches(materialize(missed.dropDuplicates(["print", *CONTEXT]), compression="zstd")))
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
