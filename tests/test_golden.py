@@ -289,3 +289,10 @@ def test_mixed_sessions_and_background(spark):
     events = with_derived(ledger(spark, *rows))
     assert tuple(audit.mixed_sessions_summary(events, "2023-11-15").first()) == (1, 130, 92.86)
     assert audit.background_share(events, "2023-11-15").first().background_percent == 7.1
+
+
+def test_a_forks_own_row_may_reach_its_parents_next_total(spark):
+    """The child's first own row has the total of the parent's next one, but other parts: it counts."""
+    parent = (file(1), [snap(10, 8, 0, 2), snap(20, 16, 0, 4), snap(30, 24, 0, 6)])
+    child = (file(2), [fork(1), snap(10, 8, 0, 2), snap(20, 16, 0, 4), snap(30, 25, 0, 5)])
+    assert deltas(spark, parent, child)[3:] == [(10, 9, 0, 1)]
