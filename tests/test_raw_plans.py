@@ -22,3 +22,17 @@ def test_a_table_of_one_file_is_dealt_out(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert len(events.inputFiles()) < spark.sparkContext.defaultParallelism
     assert "RepartitionByExpression" in optimized(spread(events, "event_id"))
+
+
+def test_inferences_of_one_second_all_reach_the_ledger(spark):
+    import json
+
+    from meterline.operators.merge import build_ledger
+    from meterline.sources import inference
+
+    ctx = {"loop_index": 1, "prompt_tokens": 5, "completion_tokens": 2}
+    line = json.dumps({"ts": "2024-01-01T00:00:00Z", "sid": "s", "msg": "shell.turn.inference_done", "ctx": ctx})
+    lines = spark.createDataFrame([("/u.jsonl", n, line) for n in (3, 1, 2)], "path string, pos long, value string")
+    records = inference.apart(inference.normalize_inference_events(lines))
+    assert build_ledger([records], [], []).count() == 3
+    assert build_ledger([records, records], [], []).count() == 3
