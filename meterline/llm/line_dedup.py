@@ -118,7 +118,8 @@ def fingerprints(lines: DataFrame) -> DataFrame:
     )
 
 
-CONTEXT = ["doc_id", "text_hash", "pos", "back1", "back2", "ahead1", "ahead2"]
+AROUND = ["back1", "back2", "ahead1", "ahead2"]
+CONTEXT = ["doc_id", "text_hash", "pos", *AROUND]
 
 
 def gram_lines() -> Column:
@@ -139,7 +140,7 @@ def agreeing(one: str, other: str) -> Column:
 
 def matches(prints: DataFrame) -> DataFrame:
     """Fingerprints, each with an earlier place of its value (from_<column>): the first one, and the one before it if
-    that is in the same document.
+    that is in the same document; and whether the latter stands in equal surroundings (alike).
 
     Places meet in a window by value. The values that may hold more than SUPPORT of all fingerprints (Misra-Gries names
     them, 1/SUPPORT at most) are dealt to SALTS buckets by document, and their first places, a row a value, are
@@ -159,13 +160,14 @@ def matches(prints: DataFrame) -> DataFrame:
     same = lambda c: (F.col(f"{c}.doc_id") == F.col("doc_id")) & (F.col(f"{c}.text_hash") == F.col("text_hash"))
     later = F.coalesce(same("last") & (F.col("last.pos") < F.col("pos")), F.lit(False))
     offers = F.array(F.when(~same("first"), F.col("first")), F.when(later, F.col("last")))
-    met = placed.filter(~same("first") | later).select("*", F.explode(offers).alias("from")).filter("from IS NOT NULL")
-    return met.select("print", *CONTEXT, "shape", *[F.col(f"from.{c}").alias(f"from_{c}") for c in CONTEXT])
+    alike = F.coalesce(later & F.forall(F.array(*[F.col(f"last.{c}") == F.col(c) for c in AROUND]), lambda x: x), F.lit(False))
+    met = placed.filter(~same("first") | later).select("*", F.explode(offers).alias("from"), alike.alias("alike")).filter("from IS NOT NULL")
+    return met.select("print", *CONTEXT, "shape", "alike", *[F.col(f"from.{c}").alias(f"from_{c}") for c in CONTEXT])
 
 
-def open_windows(places: DataFrame, back: Column, ahead: Column) -> DataFrame:
-    """The places' windows around their grams that do not lie within ``back`` lines before and ``ahead`` after the gram,
-    a row each, as fingerprints whose value is the window's: gram and lines beside it, as far as the window goes."""
+def open_windows(back: Column, ahead: Column) -> Column:
+    """The values of a place's windows around its gram that do not lie within ``back`` lines before and ``ahead`` after
+    the gram: gram and lines beside it, as far as the window goes."""
 
     def beside(side: str, lines: Column) -> list[Column]:
         low = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
@@ -176,8 +178,25 @@ def open_windows(places: DataFrame, back: Column, ahead: Column) -> DataFrame:
         value = F.xxhash64("print", F.lit(k), after, *beside("back", F.lit(k)), *beside("ahead", after))
         return F.when((window_lines(k) > 0) & (after >= 0) & ((F.lit(k) > back) | (after > ahead)), value)
 
-    values = F.array_compact(F.array(*[window(k) for k in range(SIDE + 1)]))
-    return places.select(*CONTEXT, "shape", F.explode(values).alias("print"))
+    return F.array_compact(F.array(*[window(k) for k in range(SIDE + 1)]))
+
+
+def unsettled(met: DataFrame) -> DataFrame:
+    """The fingerprints by which places meet once more whose gram's match leaves windows open.
+
+    Places of one gram in equal surroundings (SIDE lines either side) have all their windows in common. So they meet
+    by the surroundings, and only the first of them is looked up by its windows, a row each: their number follows that
+    of different surroundings, not that of places. A place that stands as the one before it in its document does has
+    met an equal one already.
+    """
+    around = F.xxhash64("print", "shape", *AROUND)
+    windows = open_windows(agreeing("back", "from_back"), agreeing("ahead", "from_ahead"))
+    left = met.filter(~F.col("alike")).select(*CONTEXT, "shape", around.alias("print"), windows.alias("windows"), (F.col("doc_id") == F.col("from_doc_id")).alias("own"))
+    left = materialize(left.filter(F.size("windows") > 0), compression="zstd")
+    # of a place's two matches the one in another document counts: it is the gram's first place
+    row, order = F.struct(*CONTEXT, "shape", "windows"), F.struct("doc_id", "text_hash", "pos", "own")
+    firsts = left.groupBy("print").agg(F.min_by(row, order).alias("first")).select("first.*")
+    return left.select(*CONTEXT, "shape", "print").unionByName(firsts.select(*CONTEXT, "shape", F.explode("windows").alias("print")))
 
 
 def all_matches(prints: DataFrame) -> DataFrame:
@@ -186,11 +205,12 @@ def all_matches(prints: DataFrame) -> DataFrame:
     A gram's first place may stand in other surroundings than a later pair of equal places, as a sentence does that is
     used alone and in passages. Every run of ``min_words`` words holds a whole window, which selects a gram in all
     places of the run; so what the first place does not share is looked up once more by the whole window. A place
-    whose window its first place shares needs no look: whoever has that window shares it with the first place too.
+    whose window its first place shares needs no look: whoever has that window shares it with the first place too. Nor
+    does one that meets an earlier place in equal surroundings, which shares all its windows (see unsettled).
     """
     met = materialize(matches(prints), compression="zstd")
-    missed = open_windows(met, agreeing("back", "from_back"), agreeing("ahead", "from_ahead"))
-    return met.unionByName(matches(materialize(missed.dropDuplicates(["print", *CONTEXT]), compression="zstd")))
+    again = unsettled(met).dropDuplicates(["print", *CONTEXT])
+    return met.unionByName(matches(materialize(again, compression="zstd")))
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:

@@ -142,6 +142,23 @@ def test_a_line_that_stands_everywhere_is_dealt_out(spark):
     assert excess == 0 and went == may and may >= 45 * 699
 
 
+def test_places_in_equal_surroundings_are_looked_up_once(spark, monkeypatch):
+    """Runs of one line and copies of a passage, both unlike the first places of their grams: what is looked up by
+    windows follows the number of different surroundings, not that of places."""
+    line = " ".join(f"r{j}" for j in range(14)) + ". "
+    passage = [" ".join(f"w{k}p{j}" for j in range(14)) + ". " for k in range(12)]
+    own = lambda i: " ".join(f"o{i}w{j}" for j in range(14)) + ". "
+    texts = [own(0) + line + own(1), "".join(x + own(f"2n{k}") for k, x in enumerate(passage))]
+    texts += [own(f"{i}a") + line * 40 + own(f"{i}b") + "".join(passage) + own(f"{i}c") for i in range(2, 22)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, matches = [], line_dedup.matches
+    monkeypatch.setattr(line_dedup, "matches", lambda prints: seen.append(prints) or matches(prints))
+    repeated_runs(hashed_lines(docs, SENTENCES, 40)).count()
+    assert len(seen) == 2 and seen[1].count() < 20 * 40 < seen[0].count()
+    may, went, excess = measured(docs, SENTENCES, 40)
+    assert excess == 0 and went == may and may > 20 * 40 * 14
+
+
 def test_one_line_repeated_in_one_document(spark):
     text = "spam and eggs again. " * 3000
     docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
