@@ -17,7 +17,10 @@ from ..functions.measures import RECORD, as_records, with_derived
 from ..operators.merge import merge_first
 from ..sources import counters, inference
 from ..sources.sinks import merge_into_ledger
-from .processors import CLOCK, CONTEXT_OUT, INFERENCE_OUT, PARTS, RECORD_OUT, CounterContext, Expiring, ForkJudge, InferenceContext, keep_state_in_rocks
+from .processors import CLOCK, CONTEXT_OUT, INFERENCE_OUT, PARTS, RECORD_OUT, Bucketed, CounterContext, Expiring, ForkJudge, InferenceContext, Numbered, keep_state_in_rocks
+
+#: Buckets that the keys of a stream share, fixed as long as its checkpoint is used: some ten thousand live keys each.
+BUCKETS = 64
 
 
 def stream_lines(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -52,12 +55,14 @@ def clocked(rows: DataFrame) -> DataFrame:
     return rows.withColumn(CLOCK, F.current_timestamp()).withWatermark(CLOCK, "0 seconds")
 
 
-def stateful(rows: DataFrame, key: list[str], processor: Expiring, out: str, initial: DataFrame | None) -> DataFrame:
-    """``rows`` folded by key with a processor; ``initial`` has the key and what the processor starts from."""
+def stateful(rows: DataFrame, key: list[str], processor: Expiring, out: str, initial: DataFrame | None, buckets: int, kind: type[Bucketed] = Bucketed, dealt: list[str] | None = None) -> DataFrame:
+    """``rows`` folded by key with a processor; ``initial`` has the key and what the processor starts from. Keys meet in
+    buckets, by the key or what else they are ``dealt`` by."""
     keep_state_in_rocks(rows.sparkSession)
-    start = {} if initial is None else {"initialState": initial.groupBy(*key)}
+    bucketed = lambda df: df.withColumn("bucket", F.pmod(F.xxhash64(*(dealt or key)), F.lit(buckets))).groupBy("bucket")
+    start = {} if initial is None else {"initialState": bucketed(initial)}
     clock = CLOCK if f"{CLOCK} timestamp" in out else ""  # what follows goes by the same clock
-    return rows.groupBy(*key).transformWithStateInPandas(processor, out, "Append", "EventTime", eventTimeColumnName=clock, **start)
+    return bucketed(rows).transformWithStateInPandas(kind(processor, key), out, "Append", "EventTime", eventTimeColumnName=clock, **start)
 
 
 def counter_contexts(lines: DataFrame) -> DataFrame:
@@ -80,7 +85,7 @@ def session_totals(lines: DataFrame) -> DataFrame:
     return rows.filter("session_id IS NOT NULL").groupBy("session_id", "rollout").agg(F.transform(ordered, lambda x: x["total"]).alias("totals"))
 
 
-def stream_counter_deltas(lines: DataFrame, totals: DataFrame | None = None, contexts: DataFrame | None = None, wait_ms: int = 3_600_000, idle_ms: int | None = None) -> DataFrame:
+def stream_counter_deltas(lines: DataFrame, totals: DataFrame | None = None, contexts: DataFrame | None = None, wait_ms: int = 3_600_000, idle_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Records of streamed counter files, forked ones among them: parent and child may come in any order.
 
     Two processors follow each other: CounterContext folds each file, ForkJudge compares forked files with what their
@@ -91,25 +96,36 @@ def stream_counter_deltas(lines: DataFrame, totals: DataFrame | None = None, con
     """
     rows = counters.parse_counter_lines(lines).withColumn("own", counters.own_session(F.col("rollout")))
     known = None if totals is None else totals.select(F.col("session_id").alias("key"), "rollout", F.col("totals").cast("array<bigint>").alias("totals"))
-    folded = stateful(clocked(rows), ["rollout"], CounterContext(idle_ms), CONTEXT_OUT, contexts)
-    judged = stateful(folded, ["key"], ForkJudge(wait_ms, idle_ms), RECORD_OUT, known)
+    folded = stateful(clocked(rows), ["rollout"], CounterContext(idle_ms), CONTEXT_OUT, contexts, buckets)
+    judged = stateful(folded, ["key"], ForkJudge(wait_ms, idle_ms), RECORD_OUT, known, buckets)
     key = F.concat(F.lit("codex:"), F.col("rollout"), F.lit(":"), F.col("pos").cast("string"))
     return as_records(judged, source="codex", category="main", source_file=F.col("path"), dedup_key=key)
 
 
-def inference_contexts(lines: DataFrame) -> DataFrame:
-    """path, sid, model, project: where the batch job left every session of a unified log."""
-    rows = inference.parse_inference_lines(lines).filter("sid <> ''")
-    last = lambda c, kind: F.max_by(c, F.when((F.col("kind") == kind) & F.col(c).isNotNull(), F.col("pos")))
-    return rows.groupBy("path", "sid").agg(last("own_model", "model").alias("model"), last("own_cwd", "session").alias("project"))
+def marked(rows: DataFrame) -> DataFrame:
+    """Rows of a unified log with ``mark``, which the inferences of one session, time and loop share (0: no inference
+    that counts), and ``alone``, the mark of those without a session."""
+    mark = F.when(inference.counts(), F.xxhash64("path", "sid", "ts_raw", "loop")).otherwise(F.lit(0))
+    return rows.withColumn("mark", mark).withColumn("alone", F.when(F.col("sid") == "", F.col("mark")))
 
 
-def stream_inference_context(lines: DataFrame, observer: bool = False, contexts: DataFrame | None = None, idle_ms: int | None = None) -> DataFrame:
-    """Records of a streamed unified log. Rows without a session need no state and go past the fold."""
-    rows = inference.parse_inference_lines(lines)
-    plain = rows.filter("sid = ''").withColumnsRenamed({"own_model": "model", "own_cwd": "project"}).select(*[c.split()[0] for c in INFERENCE_OUT.split(", ")])
-    folded = stateful(clocked(rows.filter("sid <> ''")), ["path", "sid"], InferenceContext(idle_ms), INFERENCE_OUT, contexts)
-    return inference.inference_records(folded.unionByName(plain), observer)
+def inference_contexts(lines: DataFrame) -> DataFrame:
+    """path, sid, alone, model, project, told: where the batch job left every session of a unified log, and by spans of
+    time how often it met each mark."""
+    rows = marked(inference.parse_inference_lines(lines))
+    last = lambda c, kind: F.max_by(c, F.when((F.col("kind") == kind) & F.col(c).isNotNull(), F.col("pos")))
+    contexts = rows.filter("sid <> ''").groupBy("path", "sid").agg(last("own_model", "model").alias("model"), last("own_cwd", "session").alias("project"))
+    times = rows.filter("mark <> 0").groupBy("path", "sid", "alone", "ts", "mark").agg(F.count(F.lit(1)).alias("n"))
+    told = times.groupBy("path", "sid", "alone", F.floor(F.col("ts") / Numbered.SPAN)).agg(F.collect_list(F.struct("ts", "mark", "n")).alias("told"))
+    return contexts.unionByName(told.select("path", "sid", "alone", "told"), allowMissingColumns=True)
+
+
+def stream_inference_context(lines: DataFrame, observer: bool = False, contexts: DataFrame | None = None, idle_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Records of a streamed unified log. Several inferences of a session with one time and loop are told apart by their
+    keys, as inference.apart does. Rows without a session have no context, so they are dealt to all buckets."""
+    rows = marked(inference.parse_inference_lines(lines))
+    folded = stateful(clocked(rows), ["path", "sid"], InferenceContext(idle_ms), INFERENCE_OUT, contexts, buckets, Numbered, ["path", "sid", "alone"])
+    return inference.inference_records(folded, observer)
 
 
 def stream_dedup(records: DataFrame, delay: str = "2 days") -> DataFrame:

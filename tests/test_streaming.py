@@ -85,6 +85,28 @@ def test_streamed_inference_equals_batch(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, read_ledger(spark, str(tmp_path / "inference")).select(*pick).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_inferences_of_one_second_are_told_apart(spark, tmp_path):
+    """Several inferences of a session with one time and loop, in one micro-batch and over two: each is kept, with the
+    keys that the batch job gives, and a stream that starts anew over the same log changes nothing."""
+    line = lambda sid, n: {"ts": "2024-01-01T00:00:00Z", "sid": sid, "msg": "shell.turn.inference_done", "ctx": {"loop_index": "0", "prompt_tokens": n, "completion_tokens": 1}}
+    parts = [[line("s", 1), line("s", 2), line("", 3), line("t", 4)], [line("s", 5), line("", 6), line("", 7)]]
+    for k, part in enumerate(parts):
+        chunk(tmp_path / "i", "unified.jsonl", k, part)
+        drain(jobs.stream_inference_context(jobs.stream_lines(spark, str(tmp_path / "i")), buckets=3), tmp_path, "inference")
+    shown = lambda df: sorted(map(tuple, df.select("dedup_key", "total_tokens").collect()))
+    data = [("unified.jsonl", i, json.dumps(x)) for i, x in enumerate(x for part in parts for x in part)]
+    lines = spark.createDataFrame(data, "path string, pos long, value string")
+    want = shown(inference.apart(inference.normalize_inference_events(lines)))
+    assert len(want) == 7 and shown(read_ledger(spark, str(tmp_path / "inference"))) == want
+    query = jobs.stream_ledger(jobs.stream_inference_context(jobs.stream_lines(spark, str(tmp_path / "i")), buckets=5), str(tmp_path / "inference"), str(tmp_path / "anew"))
+    query.awaitTermination()
+    assert shown(read_ledger(spark, str(tmp_path / "inference"))) == want
+    begun = jobs.inference_contexts(lines.filter("pos < 4"))
+    chunk(tmp_path / "rest", "unified.jsonl", 1, parts[1])
+    drain(jobs.stream_inference_context(jobs.stream_lines(spark, str(tmp_path / "rest")), contexts=begun, buckets=3), tmp_path, "rest-ledger")
+    assert shown(read_ledger(spark, str(tmp_path / "rest-ledger"))) == [x for x in want if x[1] > 5]
+
+
 def test_dedup_and_daily_totals(spark, sf_dir, tmp_path):
     from meterline.sources.tables import usage_events
 
