@@ -1,5 +1,5 @@
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +12,7 @@ from meterline.llm.exact import exact_dedup
 from meterline.llm.piece_codec import encode_digests, encode_documents
 from meterline.llm.pieces import chunks, vocabulary
 from meterline.llm.simhash import brute_force_links, linked_block, linked_pairs, near_links, simhash_classes
-from meterline.llm.token_counts import count_tokens
+from meterline.llm.token_counts import count_tokens, frequent_chunks
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SP = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -59,6 +59,14 @@ def test_token_counts_equal_library(awkward):
     assert got == sorted(want, key=key)
 
 
+def test_frequent_chunks_are_those_of_all_texts(spark):
+    """60,000 texts in 40 parts, so that summaries are added up in two levels: the order of exact counts."""
+    said = [(i, f"all of{i % 2} them{i % 3} and{i % 5}") for i in range(60_000)]
+    want = Counter(c for _, t in said for c in chunks(t))
+    got = frequent_chunks(spark.createDataFrame(said, "id long, text string").repartition(40), 12, 1000, 48)
+    assert got == sorted(want, key=lambda c: (-want[c], c))[:12]
+
+
 def test_codec_equals_library(awkward):
     def sha(s):
         return hashlib.sha256(s.encode()).hexdigest()
