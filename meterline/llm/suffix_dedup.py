@@ -6,6 +6,7 @@ import gc
 import hashlib
 import time
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,11 @@ from .run_index import NOBODY, RunIndex
 ANCHOR = 16
 #: Strings that begin in one piece at most: their marks fit a long.
 MOST = 62
-#: Bits of the filter of repeated anchors, whatever the input: 16 MB. A fuller filter lets more through, never less.
-FILTER_BITS = 1 << 27
+#: Bits of the filter of repeated anchors, at least (16 MB); for each of them; and how often the least it may become
+#: (64 MB). A fuller filter lets more through, never less.
+FILTER_BITS, BITS_EACH, FILTER_GROWS = 1 << 27, 8, 4
+#: Rounds, each for a share of the anchors: only that share's pieces lie on disk at a time; a round hashes all texts.
+ROUNDS = 2
 #: Bytes of pieces that share an index, and what a bucket may hold before it is settled string by string.
 BUCKET_BYTES, BUCKET_MOST = 256 * 1024, 1024 * 1024
 #: Bytes that are hashed at a time, so that intermediate arrays stay in a CPU's cache.
@@ -137,6 +141,11 @@ def repeated_anchors(texts: DataFrame, length: int) -> DataFrame:
     return materialize(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("anchor"))
 
 
+def filter_size(anchors: int, least: int) -> int:
+    """Bits of the filter for so many anchors, a power of two: an eighth of them are set at most, as long as it may grow."""
+    return min(max(least, 1 << (BITS_EACH * anchors).bit_length()), FILTER_GROWS * least)
+
+
 def anchor_filter(anchors: DataFrame, bits: int) -> np.ndarray:
     """A bitmap of ``bits`` bits (a power of two) in which those of the anchors are set."""
     slot = F.col("anchor").bitwiseAND(bits - 1)
@@ -146,8 +155,8 @@ def anchor_filter(anchors: DataFrame, bits: int) -> np.ndarray:
     return bitmap
 
 
-def repeated_pieces(texts: DataFrame, length: int, bitmap: object) -> DataFrame:
-    """doc_id, text_hash, begin, count, anchor, piece for the runs whose anchors the filter knows."""
+def repeated_pieces(texts: DataFrame, length: int, bitmap: object, nth: int = 0, rounds: int = 1) -> DataFrame:
+    """doc_id, text_hash, begin, count, anchor, piece for the runs whose anchors the filter knows, those of one round."""
     id_type = texts.schema["doc_id"].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +165,7 @@ def repeated_pieces(texts: DataFrame, length: int, bitmap: object) -> DataFrame:
             for row, flat, ends in text_slices(batch.column(2)):
                 text, begin, count, anchor = anchor_runs(flat, ends, length)
                 slot = anchor & (64 * len(known) - 1)
-                hit = (known[slot >> 6] >> (slot & 63)) & 1 == 1
+                hit = ((known[slot >> 6] >> (slot & 63)) & 1 == 1) & ((anchor >> 40) % rounds == nth)
                 text, begin, count, anchor = text[hit], begin[hit], count[hit], anchor[hit]
                 start, rows = np.append(0, ends[:-1])[text], pa.array(text + row)
                 yield pa.RecordBatch.from_arrays(
@@ -168,6 +177,15 @@ def repeated_pieces(texts: DataFrame, length: int, bitmap: object) -> DataFrame:
     return texts.select("doc_id", "text_hash", "bytes").mapInArrow(pieces, f"doc_id {id_type}, text_hash long, begin long, count long, anchor long, piece binary")
 
 
+def later_copies(owned: DataFrame) -> DataFrame:
+    """doc_id, text_hash (written) of the rows whose whole text also stands in a row of a smaller id. Only hashes (128
+    bits) and ids travel; texts that stand once are not joined."""
+    hashed = owned.select("doc_id", "text_hash", F.xxhash64(F.lit(1), "bytes").alias("other_hash"), F.octet_length("bytes").alias("size"))
+    same = ["text_hash", "other_hash", "size"]
+    firsts = materialize(hashed.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last"))
+    return materialize(hashed.join(firsts, same).filter("doc_id > first").select("doc_id", "text_hash").distinct())
+
+
 def first_owners(pieces: DataFrame, length: int) -> DataFrame:
     """anchor, piece_hash, first, last, again of each distinct piece: its least and largest owner, and as bits the
     strings of it that begin in a piece of a still smaller owner. Pieces of one owner without such strings are left out.
@@ -212,7 +230,8 @@ def first_owners(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def cut_texts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """n_bytes, n_removed, n_spans, kept for texts with the places (begin, bits) of their repeated strings."""
+    """n_bytes, n_removed, n_spans, kept for texts with the places (begin, bits) of their repeated strings; copies, which
+    are repeated as a whole, have none."""
     for batch in batches:
         flat, ends = flat_texts(batch.column(1))
         starts = ends - np.diff(ends, prepend=0)
@@ -225,6 +244,9 @@ def cut_texts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             here = begin[(bits >> nth) & 1 == 1] + nth
             np.add.at(edge, here, 1)
             np.subtract.at(edge, here + length, 1)
+        copied = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+        np.add.at(edge, starts[copied], 1)
+        np.subtract.at(edge, ends[copied], 1)
         gone = np.cumsum(edge[:-1]) > 0
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
@@ -248,7 +270,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with a null id is compared with nothing and kept whole; rows with one id don't count as smaller than each other.
     An empty table gives no rows; other columns are ignored. Ids are whole numbers.
 
-    Method: every string is named by its anchor (its part with the least hash). Anchors of one text only are filtered
+    Method: a text that stands whole under a smaller id is removed as it is and owns no string, so only its least id is
+    looked at further. Every string is named by its anchor (its part with the least hash). Anchors of one text only are filtered
     out; the others' strings travel as pieces, equal ones merged map-side into one with its least owner. All places of
     a string meet in the bucket of its anchor, where a run-compressed Burrows-Wheeler index of the pieces is built and
     the pieces' matching statistics are streamed against it: a match of ``length`` bytes leads to the string's least
@@ -260,23 +283,31 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("bytes")).withColumn("text_hash", F.xxhash64("bytes"))
     owned = texts.filter(F.col("doc_id").isNotNull() & (F.octet_length("bytes") >= length))
 
+    copies = later_copies(owned)
+    owned = owned.join(copies, ["doc_id", "text_hash"], "left_anti")
     anchors = repeated_anchors(owned, length)
     release(spark)
-    bitmap = spark.sparkContext.broadcast(anchor_filter(anchors, filter_bits))
+    bitmap = spark.sparkContext.broadcast(anchor_filter(anchors, filter_size(anchors.count(), filter_bits)))
     discard(anchors)
-    places = repeated_pieces(owned, length, bitmap)
     owner = F.col("doc_id").cast("long")
-    pieces = materialize(places.groupBy("anchor", "piece").agg(F.min(owner).alias("first"), F.max(owner).alias("last")), compression="zstd")
-    release(spark)
-    owners = materialize(first_owners(pieces, length), compression="zstd")
-    discard(pieces)
-    release(spark)
-
-    met = places.withColumn("piece_hash", F.xxhash64("piece")).drop("piece").join(owners, ["anchor", "piece_hash"])
     bits = F.when(F.col("doc_id") > F.col("first"), F.expr("shiftleft(1L, cast(count as int)) - 1")).otherwise(F.col("again"))
-    marks = met.withColumn("bits", bits).filter("bits <> 0").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "bits")).alias("marks"))
+    found = []
+    for nth in range(ROUNDS):
+        places = repeated_pieces(owned, length, bitmap, nth, ROUNDS)
+        pieces = materialize(places.groupBy("anchor", "piece").agg(F.min(owner).alias("first"), F.max(owner).alias("last")), compression="zstd")
+        release(spark)
+        owners = materialize(first_owners(pieces, length), compression="zstd")
+        discard(pieces)
+        release(spark)
+        met = places.withColumn("piece_hash", F.xxhash64("piece")).drop("piece").join(owners, ["anchor", "piece_hash"])
+        found.append(materialize(met.withColumn("bits", bits).filter("bits <> 0").select("doc_id", "text_hash", "begin", "bits"), compression="zstd"))
+        discard(owners)
+        release(spark)
+
+    marks = reduce(DataFrame.unionByName, found).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("begin", "bits")).alias("marks"))
     none = F.array().cast("array<struct<begin:bigint,bits:bigint>>")
-    marked = texts.join(marks, ["doc_id", "text_hash"], "left").select("doc_id", "bytes", F.coalesce("marks", none).alias("marks"))
+    told = marks.withColumn("copy", F.lit(False)).unionByName(copies.withColumns({"marks": none, "copy": F.lit(True)}))
+    marked = texts.join(told, ["doc_id", "text_hash"], "left").select("doc_id", "bytes", F.coalesce("marks", none).alias("marks"), F.coalesce("copy", F.lit(False)).alias("copy"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     done = marked.mapInArrow(lambda b: cut_texts(b, length), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done if with_kept else done.drop("kept")

@@ -70,6 +70,20 @@ def test_repeated_ids(spark):
     check(spark, [(5, text), (5, text), (5, "x" + text), (6, text + "y"), (None, text), (2**62, text)])
 
 
+def test_whole_copies_are_not_looked_up(spark):
+    """Texts that stand whole under a smaller id go as they are; their anchors repeat nothing. The filter grows with the
+    anchors, so that it does not let more through on larger inputs."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(5)]
+    rows = [(10 * k + i, t) for k in range(6) for i, t in enumerate(texts)] + [(3, "short"), (4, "short"), (4, texts[4]), (None, texts[0])]
+    check(spark, rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "cast(text AS binary) AS bytes", "xxhash64(cast(text AS binary)) AS text_hash").filter("doc_id IS NOT NULL AND octet_length(bytes) >= 50")
+    copies = sd.later_copies(docs)
+    assert sorted(r.doc_id for r in copies.collect()) == [10 * k + i for k in range(1, 6) for i in range(5)]
+    assert sd.repeated_anchors(docs.join(copies, ["doc_id", "text_hash"], "left_anti").dropDuplicates(["text_hash"]), 50).count() == 0
+    assert [sd.filter_size(n, 1 << 27) for n in (0, 10**6, 2 * 10**7, 10**12)] == [1 << 27, 1 << 27, 1 << 28, 1 << 29]
+
+
 def test_full_filter_and_full_buckets(spark, monkeypatch):
     """A filter that lets all through, and buckets that are settled string by string, give the same."""
     monkeypatch.setattr(sd, "BUCKET_MOST", 3000)
